@@ -158,5 +158,5 @@ def long_grid(grid: DataFrame, series: DataFrame) -> DataFrame:
         grid.join(sized(step), "series_id")
         .withColumn("x", F.explode(parts))
         .filter(F.col("x.state") != ABSENT)
-        .select("series_id", "slot", F.expr("timestamp_ntz(timestamp_seconds(slot * step_s))").alias("t"), "x.col_name", "x.value", F.element_at(names, F.col("x.state") + 1).alias("state"))
+        .select("series_id", "slot", F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, slot * step_s)").alias("t"), "x.col_name", "x.value", F.element_at(names, F.col("x.state") + 1).alias("state"))
     )

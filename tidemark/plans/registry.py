@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import data_quality
+from tidemark.plans import data_quality, models, relational
 
-MODULES = [data_quality]
+MODULES = [data_quality, relational, models]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
