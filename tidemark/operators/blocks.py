@@ -23,7 +23,7 @@ def ordered_blocks(df: DataFrame, key: str, order: str, counted: DataFrame | Non
     """Add `block` (int) and `core` (boolean) to `df`.
 
     Every row is core in exactly one block of its key; rows near a cut appear again, with core false, in the block
-    across the cut. A halo holds at least block_rows/64 rows, blocks at most about block_rows rows.
+    across the cut. A halo holds at least block_rows/33 rows, blocks at most about block_rows rows.
     `counted`: a frame with the same key column and at least as many rows of each key that is cheaper to count.
     Rows need a non-null integer `order`. An empty frame gives an empty frame.
     """
@@ -53,7 +53,6 @@ def ordered_blocks(df: DataFrame, key: str, order: str, counted: DataFrame | Non
         cuts = part if cuts is None else cuts.unionByName(part)
     marked = df.join(F.broadcast(cuts), key, "left")
     cell = F.size(F.filter("_cuts", lambda c: c <= F.col(order)))
-    own = F.floor(cell / F.lit(CELLS)).cast("int")
     marked = marked.withColumn("_cell", F.when(F.col("_cuts").isNull(), F.lit(None)).otherwise(cell))
     own = F.floor(F.col("_cell") / F.lit(CELLS)).cast("int")
     at = F.pmod(F.col("_cell"), F.lit(CELLS))

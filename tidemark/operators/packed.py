@@ -31,7 +31,7 @@ SEPARATORS: list[tuple[str, str, str | None, float]] = [
     ("line", r"\r?\n", r"\n", 5.0),
     ("or", r"\bor\b", r"\bor\b", 5.0),
     ("and", r"\band\b", r"\band\b", 5.0),
-    ("label", r"[;,|/&\s]*(?=[A-Za-z]+[0-9]+\s*[:=])", r"[A-Za-z]+[0-9]+\s*[:=]", 6.0),
+    ("label", r"[;,|/&\s]+(?=[A-Za-z]+[0-9]+\s*[:=])", r"[A-Za-z]+[0-9]+\s*[:=]", 6.0),
     ("plus", r"\+", r"\+", 6.0),
     ("colon", r":", r":", 6.0),
     ("backslash", r"\\", r"\\", 6.0),
@@ -80,8 +80,6 @@ def parse(text: str, most: int, bits_of: dict[int | None, float], unseen: float)
             if need is not None and not need.search(form):
                 continue
             parts = sep.split(form.strip() if name in ("blank", "label") else form)
-            if name == "label" and len(parts) > 1 and not parts[0]:
-                parts = parts[1:]
             for quotes in quoting:
                 total, values = cost + wrap + quotes, []
                 for p in parts:

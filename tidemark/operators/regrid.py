@@ -44,24 +44,29 @@ def slot_readings(obs: DataFrame, series: DataFrame) -> DataFrame:
     )
 
 
-def als(values: np.ndarray, rank: int = 2, rounds: int = 6, ridge: float = 0.05) -> np.ndarray:
-    """Low-rank fit of a sources x times matrix with NaN holes, each source scaled by its own median and spread."""
+def als(values: np.ndarray, rank: int = 2, rounds: int = 8, ridge: float = 0.01) -> np.ndarray:
+    """Low-rank fit of a sources x times matrix with NaN holes: each source has its offset and its loadings on `rank`
+    common courses. Sources are scaled by their own median and spread; readings far out are clipped, so that faulty ones
+    do not bend the courses. The first course starts at the mean over sources, further ones at noise."""
     seen = ~np.isnan(values)
     with np.errstate(all="ignore"):
         mid = _nanmedian_rows(values)
         spread = 1.4826 * _nanmedian_rows(np.abs(values - mid[:, None]))
     spread = np.where(spread > 0, spread, 1.0)
-    z = np.where(seen, np.clip((values - mid[:, None]) / spread[:, None], -5, 5), 0.0)
+    z = np.where(seen, np.clip((values - mid[:, None]) / spread[:, None], -12, 12), 0.0)
     m = seen.astype(float)
     n, t = z.shape
-    rng = np.random.default_rng(7)
-    x, eye = rng.normal(0.5, 0.5, (n, rank)), ridge * np.eye(rank)
-    pairs = lambda f: (f[:, :, None] * f[:, None, :]).reshape(len(f), rank * rank)
-    y = np.zeros((t, rank))
-    for _ in range(rounds):
-        y = np.linalg.solve((m.T @ pairs(x)).reshape(t, rank, rank) + eye, (z.T @ x)[:, :, None])[:, :, 0]
-        x = np.linalg.solve((m @ pairs(y)).reshape(n, rank, rank) + eye, (z @ y)[:, :, None])[:, :, 0]
-    return mid[:, None] + spread[:, None] * (x @ y.T)
+    y = np.random.default_rng(7).normal(0, 0.1, (t, rank))
+    y[:, 0] = z.sum(axis=0) / np.maximum(m.sum(axis=0), 1)
+    pairs = lambda f: (f[:, :, None] * f[:, None, :]).reshape(len(f), -1)
+    solve = lambda a, b, k: np.linalg.solve(a.reshape(-1, k, k) + ridge * np.eye(k), b[:, :, None])[:, :, 0]
+    for i in range(rounds):
+        f = np.column_stack([y, np.ones(t)])
+        x = solve(m @ pairs(f), z @ f, rank + 1)
+        if i < rounds - 1:
+            load = x[:, :rank]
+            y = solve(m.T @ pairs(load), (z - m * x[:, rank:]).T @ load, rank)
+    return mid[:, None] + spread[:, None] * (x @ np.column_stack([y, np.ones(t)]).T)
 
 
 def _nanmedian_rows(a: np.ndarray) -> np.ndarray:

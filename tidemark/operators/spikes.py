@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.timeunits import seconds
-from tidemark.operators.blocks import ordered_blocks, starts, whole_groups
+from tidemark.operators.blocks import BLOCK_ROWS, ordered_blocks, starts, whole_groups
 from tidemark.operators.units import decide_units
 from tidemark.session import BROADCAST_ROWS, materialize, sized
 
@@ -147,7 +147,7 @@ def _judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     })
 
 
-def implausible(obs: DataFrame, series: DataFrame, units: DataFrame | None = None) -> DataFrame:
+def implausible(obs: DataFrame, series: DataFrame, units: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Faulty readings: obs_id, series_id, col_name, reason ('limit', 'spike', 'stuck', 'variance'); one row for each
     reading and reason, repeated rows of `obs` counting once.
 
@@ -156,10 +156,14 @@ def implausible(obs: DataFrame, series: DataFrame, units: DataFrame | None = Non
     column's median in the series. A copy of an epoch is faulty if it equals a faulty reading, or lies beyond the bounds
     of a spike itself. Only columns in the series' own data_cols and var_cols are judged; NULL and NaN never are; rows
     without obs_id or of an unknown series are left out. Series without scatter have no spikes.
-    `units`: series_id, um_per_unit; found from notes, unit fields and numbers where not given.
+    `units`: series_id, um_per_unit; found from notes, unit fields and numbers where not given. `block_rows`: epochs of
+    a series up to which it stays whole; a longer one is cut into blocks with halos of at least block_rows / 33 epochs,
+    which must exceed the 17 that the checks look at, and the course next to a cut is taken from those.
     """
+    if block_rows < 600:
+        raise ValueError("block_rows must be 600 or more")
     base = obs.select("series_id", "obs_id", "t", *DATA)
-    blocks = ordered_blocks(_epochs(base), "series_id", "sec", counted=obs.select("series_id"))
+    blocks = ordered_blocks(_epochs(base), "series_id", "sec", counted=obs.select("series_id"), block_rows=block_rows)
     laid = blocks.repartition("series_id", "block").sortWithinPartitions("series_id", "block", "sec")
     changes = _changes(laid)
     var_medians = obs.groupBy("series_id").agg(*[F.kll_sketch_agg_double(F.when(~F.isnan(c), F.col(c)), SKETCH_K).alias(c) for c in VARS])

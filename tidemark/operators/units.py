@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.timeunits import seconds
-from tidemark.operators.blocks import ordered_blocks
+from tidemark.operators.blocks import BLOCK_ROWS, ordered_blocks
 from tidemark.session import sized
 
 #: Spellings of length units (lower case, accents and micro signs folded) and their size in micrometres.
@@ -75,7 +75,7 @@ def _sql_get(i: int) -> str:
     return f"regexp_extract(_t, r'{_WHOLE}', {i})"
 
 
-def epoch_scatter(obs: DataFrame, column: str = "east") -> DataFrame:
+def epoch_scatter(obs: DataFrame, column: str = "east", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per series: series_id, delta, the robust standard deviation of the change from one epoch to the next in the
     series' own unit. Copies of an epoch count once (the first by obs_id), NULL and NaN readings are passed over."""
     x = F.when(~F.isnan(column), F.col(column))
@@ -88,7 +88,7 @@ def epoch_scatter(obs: DataFrame, column: str = "east") -> DataFrame:
     w = Window.partitionBy("series_id", "block").orderBy("sec")
     change = F.abs(F.col("x") - F.lag("x").over(w))
     return (
-        ordered_blocks(epochs, "series_id", "sec", counted=obs.select("series_id"))
+        ordered_blocks(epochs, "series_id", "sec", counted=obs.select("series_id"), block_rows=block_rows)
         .withColumn("d", change)
         .filter("core and d is not null")
         .groupBy("series_id")
