@@ -3,7 +3,8 @@
 Every document gets a rate, as near to one use as the shares allow: the entropy-balancing dual has one multiplier for
 each source, and the rates tilt exponentially in the document's tokens, cut off at the source's largest number of uses.
 Newton steps on the dual run over a distributed histogram of (source, tokens). Rates are rounded to copies by a hash of
-the document; an offset for each source, found by bisection over all documents, brings the rounded tokens to the target.
+the document; an offset for each source, found by narrowing bounds over all documents, brings the rounded tokens to the
+target.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level vocabulary splits text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-NEWTON, BISECTIONS, TOLERANCE = 60, 24, 1e-9
+NEWTON, ROUNDS, POINTS, TOLERANCE = 60, 5, 15, 1e-9
 
 
 def count_tokens(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
@@ -106,18 +107,20 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> tupl
     lo, hi = {s: -1.0 for s in free}, {s: 1.0 for s in free}
     spread = materialize(rates.select("source", "tokens", "rate", "doc_id"), "rates")
     best = {s: (math.inf, 0.0) for s in free}
-    for _ in range(BISECTIONS if free else 0):
-        mid = {s: (lo[s] + hi[s]) / 2 for s in free}
-        got = {x["source"]: x["u"] for x in spread.groupBy("source").agg(F.sum(F.col("tokens") * copies(mid)).alias("u")).collect()}
+    for _ in range(ROUNDS if free else 0):  # each round tries POINTS offsets between the bounds of each source
+        tried = {s: [lo[s] + (hi[s] - lo[s]) * (k + 1) / (POINTS + 1) for k in range(POINTS)] for s in free}
+        sums = [F.sum(F.col("tokens") * copies({s: tried[s][k] for s in free})).alias(f"u{k}") for k in range(POINTS)]
+        got = {x["source"]: x for x in spread.groupBy("source").agg(*sums).collect()}
         for s in free:
-            off = got[s] - goal[s]
-            best[s] = min(best[s], (abs(off), mid[s]))
-            lo[s], hi[s] = (mid[s], hi[s]) if off < 0 else (lo[s], mid[s])
+            used = [got[s][f"u{k}"] for k in range(POINTS)]
+            best[s] = min([best[s], *((abs(u - goal[s]), t) for u, t in zip(used, tried[s]))])
+            under = sum(u < goal[s] for u in used)
+            edges = [lo[s], *tried[s], hi[s]]
+            lo[s], hi[s] = edges[under], edges[under + 1]
     shift = {s: b for s, (_, b) in best.items()}
     out = spread.withColumn("copies", copies(shift).cast("int")).select("doc_id", "source", "tokens", "rate", "copies")
-    used = out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"))
-    rows = [(s, docs[s], size[s], share, goal[s], c, short[s]) for s, (share, c) in want.items()]
-    report = spark.createDataFrame(rows, "source string, documents bigint, tokens bigint, target_share double, target_tokens double, max_repeat int, falls_short boolean")
-    report = report.join(F.broadcast(used), "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
-    whole = F.broadcast(used.agg(F.sum("used_tokens").alias("_all")))
-    return out, report.join(whole, how="left").withColumn("actual_share", F.when(F.col("_all") > 0, F.col("used_tokens") / F.col("_all"))).drop("_all")
+    used = {x["source"]: x["u"] for x in out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("u")).collect()}
+    whole = sum(used.values())
+    rows = [(s, docs[s], size[s], share, goal[s], c, short[s], int(used.get(s, 0)), used.get(s, 0) / whole if whole else None) for s, (share, c) in want.items()]
+    kind = "source string, documents bigint, tokens bigint, target_share double, target_tokens double, max_repeat int, falls_short boolean, used_tokens bigint, actual_share double"
+    return out, spark.createDataFrame(rows, kind)

@@ -22,7 +22,9 @@ SCHEMA = "doc_id bigint, " + ", ".join(f"{s} double" for s in STATS)
 FEATURES = ["mean_word_length", "symbol_ratio", "odd_ratio", "digit_word_share", "punctuated_lines", "words_per_line", "common_share", "running_share"]
 #: Words on either side over which a word's share of common words is taken; from RUNNING up it stands in running text.
 REACH, RUNNING = 6, 0.2
-ROUNDS, FLOOR, SURE = 25, 0.02, 0.99
+#: SURE: probability from which the mixture decides. NEAR: squared distance to its component up to which it does, the
+#: 0.999 quantile of chi-squared with 8 degrees of freedom.
+ROUNDS, FLOOR, SURE, NEAR = 25, 0.02, 0.99, 26.12
 COMMON_LIMIT = 200_000
 
 #: Inspected examples: what each component starts from and is named by.
@@ -127,6 +129,16 @@ def _posterior(z: np.ndarray, model: tuple) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
+def _distance(z: np.ndarray, model: tuple, comp: np.ndarray) -> np.ndarray:
+    """Squared Mahalanobis distance of each row to its component."""
+    out = np.empty(len(z))
+    for k in np.unique(comp):
+        at = comp == k
+        y = np.linalg.solve(np.linalg.cholesky(model[2][k]), (z[at] - model[1][k]).T)
+        out[at] = (y * y).sum(axis=0)
+    return out
+
+
 def fit_mixture(stats: DataFrame, common: set[str]) -> tuple[np.ndarray, np.ndarray, tuple, list[str]]:
     """(centre, scale, (weights, means, covariances), names) of the mixture fitted to all rows of `stats`."""
     d = len(FEATURES)
@@ -195,9 +207,10 @@ def fit_mixture(stats: DataFrame, common: set[str]) -> tuple[np.ndarray, np.ndar
 
 def classify_documents(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """doc_id, STATS, label ('prose', 'list', 'table', 'symbols' or 'broken') and sure (the mixture's probability of prose
-    or of not prose, whichever is larger). Where the mixture is not sure, an exact check of the words decides between
-    prose and the likeliest other label: prose has most of its words in running text and no more odd characters than
-    prose in the corpus. A NULL or blank text gives no row; an empty table gives an empty one."""
+    or of not prose, whichever is larger). An exact check of the words follows: what the mixture takes for prose must have
+    most of its words in running text and few odd characters, and what has nearly all of them there is prose; where the
+    mixture is not sure, or the document lies far out from its component, that check alone decides between prose and the
+    likeliest other label. A NULL or blank text gives no row; an empty table gives an empty one."""
     stats = materialize(document_stats(documents, common_words), "textstats")
     common = {r[0] for r in common_words.select(F.lower("word")).filter("word is not null").collect()}
     centre, scale, model, named = fit_mixture(stats, common)
@@ -207,10 +220,13 @@ def classify_documents(documents: DataFrame, common_words: DataFrame) -> DataFra
         for pdf in frames:
             if not len(pdf):
                 continue
-            p = _posterior((_shape(pdf[FEATURES].to_numpy(float)) - centre) / scale, model)
+            z = (_shape(pdf[FEATURES].to_numpy(float)) - centre) / scale
+            p = _posterior(z, model)
             good = p[:, prose].sum(axis=1)
+            decided = (np.maximum(good, 1 - good) >= SURE) & (_distance(z, model, p.argmax(axis=1)) <= NEAR)
             running = ((pdf["running_share"] > 0.5) & (pdf["odd_ratio"] < 0.03)).to_numpy()
-            is_prose = np.where(np.maximum(good, 1 - good) >= SURE, good > 0.5, running)
+            clear = running & (pdf["running_share"] >= 0.9).to_numpy()
+            is_prose = np.where(decided, (good > 0.5) & running | clear, running)
             other = np.array(named, object)[np.where(prose, -1.0, p).argmax(axis=1)]
             out = pdf.copy()
             out["label"] = np.where(is_prose, "prose", other)
