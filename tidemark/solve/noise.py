@@ -8,18 +8,17 @@ from pyspark.sql import DataFrame
 
 
 def powerlaw(size: int, exponent: float, rng: np.random.Generator) -> np.ndarray:
-    """Random Fourier amplitudes falling as f^(-exponent/2), back in time, scaled to unit expected deviation."""
+    """Random Fourier amplitudes falling as f^(-exponent/2) (Timmer and König 1995), back in time, scaled to unit
+    expected deviation. The zero frequency counts as 1/size."""
     if size < 2:
         return rng.normal(size=size)
-    f = np.fft.rfftfreq(size)[1:]
-    fall = f ** (-exponent / 2)
-    amp, phase = rng.normal(size=len(f)) * fall, rng.normal(size=len(f)) * fall
-    if size % 2 == 0:
-        phase[-1] = 0
-        amp[-1] *= np.sqrt(2)
-    power = fall.copy()
-    power[-1] *= (1 + size % 2) / 2
-    return np.fft.irfft(np.concatenate([[0], amp + 1j * phase]), n=size) / (2 * np.sqrt((power**2).sum()) / size)
+    fall = np.append(1 / size, np.fft.rfftfreq(size)[1:]) ** (-exponent / 2)
+    spectrum = fall * rng.standard_normal((2, len(fall)))  # cosines, then sines
+    ends = [0] if size % 2 else [0, -1]
+    spectrum[1, ends] = 0  # a real series has no sines there
+    power = fall[1:] ** 2
+    power[-1] *= ((1 + size % 2) / 2) ** 2
+    return np.fft.irfft(spectrum[0] + 1j * spectrum[1], n=size) * size / np.sqrt(4 * power.sum())
 
 
 def noise(stations: DataFrame, size: int, exponent: float, seed: int = 0) -> DataFrame:
