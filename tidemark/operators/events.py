@@ -16,13 +16,13 @@ def next_epoch(events: DataFrame, obs: DataFrame) -> DataFrame:
     ev = events.select("station", F.col("time").alias("t")).distinct().withColumn("_event", F.lit(True))
     both = ev.unionByName(obs.select("station", "t").distinct().withColumn("_event", F.lit(False)))
     blocks, _ = in_blocks(both)
-    # an epoch at the event's own time counts: epochs come after events of the same time
-    w = Window.partitionBy("station", "block").orderBy("_us", F.col("_event").cast("int").desc()).rowsBetween(1, Window.unboundedFollowing)
-    found = blocks.withColumn("next_t", F.first(F.when(~F.col("_event"), F.col("t")), ignorenulls=True).over(w)).filter("core and _event")
+    # from the latest back, so that the frame only grows; an epoch at the event's own time comes before it and counts
+    w = Window.partitionBy("station", "block").orderBy(F.col("_us").desc(), F.col("_event").cast("int")).rowsBetween(Window.unboundedPreceding, -1)
+    found = blocks.withColumn("next_t", F.last(F.when(~F.col("_event"), F.col("t")), ignorenulls=True).over(w)).filter("core and _event")
     # a block that ends without another epoch looks into the blocks after it
     firsts = blocks.filter("core and not _event").groupBy("station", "block").agg(F.min("t").alias("_first"))
     every = blocks.select("station", "block").distinct().join(firsts, ["station", "block"], "left")
-    later = F.first("_first", ignorenulls=True).over(Window.partitionBy("station").orderBy("block").rowsBetween(1, Window.unboundedFollowing))
+    later = F.last("_first", ignorenulls=True).over(Window.partitionBy("station").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1))
     every = every.select("station", "block", later.alias("_later"))
     return found.join(every, ["station", "block"], "left").select("station", F.col("t").alias("time"), F.coalesce("next_t", "_later").alias("next_t"))
 
