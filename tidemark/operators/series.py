@@ -129,16 +129,17 @@ def copy_uncertainties(target: DataFrame, origin: DataFrame, columns: Sequence[s
     return target.drop(*columns).join(origin.select("station", "t", *columns), ["station", "t"], "left")
 
 
-def posdef(spec: SeriesSpec) -> Column:
-    """Whether an epoch's covariance matrix is positive definite (leading minors; up to three components)."""
+def posdef(spec: SeriesSpec, tol: float = 1e-9) -> Column:
+    """Whether an epoch's covariance matrix is positive definite (leading minors, each above `tol` times the product of
+    its variances, so that a singular matrix fails whatever its rounding; up to three components)."""
     v, c = [F.col(x) for x in spec.var], [F.col(x) for x in spec.cov]
-    if len(v) == 1:
-        return v[0] > 0
-    minor = v[0] * v[1] - c[0] * c[0]
-    ok = (v[0] > 0) & (minor > 0)
+    ok = v[0] > 0
+    if len(v) > 1:
+        ok &= (v[1] > 0) & (v[0] * v[1] - c[0] * c[0] > tol * v[0] * v[1])
     if len(v) == 3:
         a, b, d = c
-        ok &= v[0] * (v[1] * v[2] - d * d) - a * (a * v[2] - d * b) + b * (a * d - v[1] * b) > 0
+        det = v[0] * (v[1] * v[2] - d * d) - a * (a * v[2] - d * b) + b * (a * d - v[1] * b)
+        ok &= (v[2] > 0) & (det > tol * v[0] * v[1] * v[2])
     return ok
 
 

@@ -102,9 +102,8 @@ def fit_residual_stats(spark, d):
 
 @query()
 def fit_with_covariance(spark, d):
-    """All components together, each epoch weighted by its inverse covariance matrix."""
-    s = V.ship(spark, d).filter("n > 4")
-    return api.fit(s, SPECS, ["east", "north", "up"], var=["east_var", "north_var", "up_var"], cov=["east_north_cov", "east_up_cov", "north_up_cov"])
+    """All components together, each epoch weighted by the pseudo-inverse of its covariance matrix."""
+    return api.fit(V.ship(spark, d), SPECS, ["east", "north", "up"], var=["east_var", "north_var", "up_var"], cov=["east_north_cov", "east_up_cov", "north_up_cov"])
 
 
 @query()

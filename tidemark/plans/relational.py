@@ -66,13 +66,13 @@ def relative_time(spark, d):
     return x.select("t", r6("decyear"), r6("years"), r6("weeks"), r6("hours"))
 
 
-@query(with_views("ship", f"""select station, t, coalesce(east_var > 0 and east_var * north_var - east_north_cov * east_north_cov > 0
+@query(with_views("ship", f"""select station, t, coalesce(east_var > 0 and north_var > 0 and up_var > 0 and east_var * north_var - east_north_cov * east_north_cov > 1e-9 * east_var * north_var
   and east_var * (north_var * up_var - north_up_cov * north_up_cov) - east_north_cov * (east_north_cov * up_var - north_up_cov * east_up_cov)
-    + east_up_cov * (east_north_cov * north_up_cov - north_var * east_up_cov) > 1e-9, false) as posdef,
-  {q6("case when east_var > 0 and north_var > 0 then east_north_cov / sqrt(east_var * north_var) end", 'corr_en')} from ship where n > 4 or n < 2"""))
+    + east_up_cov * (east_north_cov * north_up_cov - north_var * east_up_cov) > 1e-9 * east_var * north_var * up_var, false) as posdef,
+  {q6("case when east_var > 0 and north_var > 0 then east_north_cov / sqrt(east_var * north_var) end", 'corr_en')} from ship"""))
 def covariance_checks(spark, d):
-    s = V.ship(spark, d).filter("n > 4 or n < 2")  # with 2 to 4 rows a day the determinant is zero but for rounding
-    return s.select("station", "t", F.coalesce(series.posdef(SHIP), F.lit(False)).alias("posdef"), (F.round(series.correlation("east_north_cov", "east_var", "north_var"), 6) + 0.0).alias("corr_en"))
+    s = V.ship(spark, d).withColumn("corr_en", series.correlation("east_north_cov", "east_var", "north_var"))
+    return s.select("station", "t", F.coalesce(series.posdef(SHIP), F.lit(False)).alias("posdef"), r6("corr_en"))
 
 
 @query(with_views("ship", f"""|, tot as (select station, sum(abs(east)) as l1, count(*) as n from ship group by station)
