@@ -154,16 +154,21 @@ def euler_pole(spark, d):
     return spark.createDataFrame([(*map(float, pole), *map(float, pc.diagonal()))], "lon double, lat double, rate double, lon_var double, lat_var double, rate_var double")
 
 
+def _regional(spark, d):
+    """The stations drawn together to a region some degrees wide, as a plane projection needs."""
+    return _velocities(spark, d).withColumn("lon", 10 + F.col("lon") / 60).withColumn("lat", 40 + F.col("lat") / 30)
+
+
 @query()
 def homogeneous_field(spark, d):
-    f = fields.homogeneous_field(_velocities(spark, d).filter("lon between 0 and 40 and lat between -60 and 60"))
+    f = fields.homogeneous_field(_regional(spark, d))
     return spark.createDataFrame([(*map(float, f["velocity"]), *map(float, f["gradient"].ravel()), float(f["rotation"]))], "ve double, vn double, dede double, dedn double, dnde double, dndn double, rotation double")
 
 
 @query()
 def strain_field(spark, d):
-    v = _velocities(spark, d).filter("lon between 0 and 40 and lat between -60 and 60")
-    return fields.strain_field(v, table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("point_id"), (5.0 + F.col("n_nationkey")).alias("lon"), (-20.0 + 1.5 * F.col("n_nationkey")).alias("lat")))
+    points = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("point_id"), (8.0 + 0.16 * F.col("n_nationkey")).alias("lon"), (39.0 + 0.08 * F.col("n_nationkey")).alias("lat"))
+    return fields.strain_field(_regional(spark, d), points)
 
 
 _ECEF_N = f"({geodesy.A} / sqrt(1 - {geodesy.E2} * pow(sin(radians(lat)), 2)))"
