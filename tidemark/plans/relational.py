@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import timeunits
+from tidemark.functions import timeunits, weights
 from tidemark.operators import availability, cleaning, events, network, series, steps, trends
 from tidemark.plans import views as V
 from tidemark.plans.views import q6, r6, with_views
@@ -58,7 +58,7 @@ def initial_offset(spark, d):
     return series.remove_initial_offset(V.ship(spark, d), ["east", "north"]).select("station", "t", r6("east"), r6("north"))
 
 
-@query(with_views("ship", "select distinct t, round(2000 + date_diff('day', date '2000-01-01', cast(t as date)) / 365.25, 6) + 0.0 as decyear, round(date_diff('second', timestamp '2000-01-01', t) / 31557600.0, 6) + 0.0 as years, round(date_diff('second', timestamp '2000-01-01', t) / 604800.0, 6) + 0.0 as weeks, round(date_diff('second', timestamp '2000-01-01', t) / 3600.0, 6) + 0.0 as hours from ship"))
+@query(with_views("ship", "select distinct t, " + ", ".join([q6("2000 + date_diff('day', date '2000-01-01', cast(t as date)) / 365.25", "decyear"), *[q6(f"date_diff('second', timestamp '2000-01-01', t) / {k}", n) for k, n in ((31557600.0, "years"), (604800.0, "weeks"), (3600.0, "hours"))]]) + " from ship"))
 def relative_time(spark, d):
     t = V.ship(spark, d).select("t").distinct()
     ref = "'2000-01-01'"
@@ -81,8 +81,9 @@ def reweight(spark, d):
     s = V.ship(spark, d)
     tot = s.groupBy("station").agg(F.sum(F.abs("east")).alias("l1"), F.count("*").alias("cnt"))
     j = s.join(tot, "station")
-    e = F.abs("east")
-    return j.select("station", "t", (F.round(1.5 / (e + 1e-3), 6) + 0.0).alias("w_inv"), (F.round(1.5 / (e * e + 1e-3 * 1e-3), 6) + 0.0).alias("w_inv_sq"), (F.round(1.5 * F.log((F.col("l1") + F.col("cnt") * 1e-3) / (e + 1e-3)) / F.log("cnt"), 6) + 0.0).alias("w_log"))
+    x = F.col("east")
+    j = j.withColumns({"w_inv": weights.inverse(x, 1e-3, 1.5), "w_inv_sq": weights.inverse_squared(x, 1e-3, 1.5), "w_log": weights.logarithmic(x, F.col("l1"), F.col("cnt"), 1e-3, 1.5)})
+    return j.select("station", "t", r6("w_inv"), r6("w_inv_sq"), r6("w_log"))
 
 
 # --- arithmetic and set operations ---
@@ -225,7 +226,7 @@ def reliability(spark, d):
 
 
 @query("""select station, count(*) as number, cast(min(t) as date) as age, cast(max(t) as date) as recency, date_diff('day', cast(min(t) as date), cast(max(t) as date)) + 1.0::double as length_days,
-round(count(*) / (date_diff('day', cast(min(t) as date), cast(max(t) as date)) + 1.0::double), 6) + 0.0 as reliability from obs group by station""")
+""" + q6("count(*) / (date_diff('day', cast(min(t) as date), cast(max(t) as date)) + 1.0::double)", "reliability") + " from obs group by station")
 def availability_metrics(spark, d):
     x = availability.availability_metrics(table(spark, d, "obs").select("station", "t"), 1.0)
     return x.select("station", "number", "age", "recency", F.col("length_days").cast("double").alias("length_days"), r6("reliability"))
@@ -278,7 +279,7 @@ def range_event_intervals(spark, d):
 
 @query(f"""with e as (select eq_id, any_value(lat) lat, any_value(lon) lon, any_value(coalesce(depth_km, 0)) dep, any_value(mw) mw from catalog_eq where eq_id is not null and lat is not null and lon is not null and mw is not null group by eq_id),
 p as (select e.eq_id, s.station, mw, sqrt(pow((s.lat - e.lat) * ({events.KM_LAT} - {events.KM_LAT_COS} * cos(radians(2 * e.lat))), 2) + pow((s.lon - e.lon) * {events.KM_LON} * cos(radians(e.lat)), 2) + pow(coalesce(s.alt, 0) / 1000 + e.dep, 2)) as km from e, stations s)
-select eq_id, station, round(km, 4) + 0.0 as distance_km from p where km < pow(10, mw / 2 - 0.8)""")
+select eq_id, station, {q6("km", "distance_km", 4)} from p where km < pow(10, mw / 2 - 0.8)""")
 def theta_distance_steps(spark, d):
     return events.events_in_reach(table(spark, d, "catalog_eq"), table(spark, d, "stations")).select("eq_id", "station", r6("distance_km", digits=4))
 
@@ -351,7 +352,7 @@ def distance_weights(spark, d):
     return w.select("station", "other", r6("weight"))
 
 
-@query(f"with x as (select a.station, b.station as other, {_KM} as km from stations a, stations b) select station, other, round(km, 4) + 0.0 as km from x where km <= 500")
+@query(f"with x as (select a.station, b.station as other, {_KM} as km from stations a, stations b) select station, other, {q6("km", "km", 4)} from x where km <= 500")
 def neighbour_pairs(spark, d):
     return network.neighbours(table(spark, d, "stations"), 500.0).select("station", "other", r6("km", digits=4))
 
