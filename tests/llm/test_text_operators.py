@@ -141,6 +141,8 @@ def test_stats_of_a_text():
     assert s["n_words"] == 4 and s["n_lines"] == 2 and s["punctuated_lines"] == 0.5 and s["common_share"] == 0.5 and s["digit_word_share"] == 0.25
     assert s["symbol_ratio"] == pytest.approx(2 / 11)
     assert textstats.stats_of(" \n", set()) is None
+    assert textstats.stats_of("e\u0301te\u0301", set()) == textstats.stats_of("\xe9t\xe9", set())
+    assert dict(zip(textstats.STATS, textstats.stats_of("8QGjGr2Yp9Uwm2zTJRjHrVsk7sXEutGXs6ijzC8L/lA0s9", set())))["odd_ratio"] > 0.1
 
 
 def test_mixture_recovers_its_parameters(spark):

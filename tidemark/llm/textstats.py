@@ -8,6 +8,7 @@ the inspected examples below and take their names from them after the fit.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,8 @@ FEATURES = ["mean_word_length", "symbol_ratio", "odd_ratio", "digit_word_share",
 REACH, RUNNING = 6, 0.2
 #: SURE: probability from which the mixture decides. NEAR: squared distance to its component up to which it does, the
 #: 0.999 quantile of chi-squared with 8 degrees of freedom.
-ROUNDS, FLOOR, SURE, NEAR = 25, 0.02, 0.99, 26.12
+#: ODD and LONG: share of odd characters, and mean word length, from which a text does not run.
+ROUNDS, FLOOR, SURE, NEAR, ODD, LONG = 25, 0.02, 0.99, 26.12, 0.03, 14.0
 COMMON_LIMIT = 200_000
 
 #: Inspected examples: what each component starts from and is named by.
@@ -50,13 +52,16 @@ EXAMPLES = [
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]{0,15}(?:\s[^<>]{0,200})?/?>")
 _END = re.compile(r"[.!?;:…][\"'»”’)\]]*\s*$")
+_FLIP = re.compile("(?<=[a-z\u00e0-\u00ff])[A-Z\u00c0-\u00de\u0178-\u017f\u0400-\u04ff]")
 #: Characters of ordinary writing and markup beside letters, digits and white space.
 PLAIN = set(".,;:!?'\"()[]-–—«»„“”‘’…¿¡/&%*_#•·|°`")
 
 
 def stats_of(text: str, common: set[str]) -> tuple[float, ...] | None:
     """The STATS of one text, or None if it holds nothing but blanks."""
-    text = text.replace("\xad", "").replace("​", "")
+    text = text.replace("\xad", "").replace("\u200b", "")
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)  # an accent apart from its letter is no odd character
     plain = _TAG.sub(" ", text) if "<" in text else text
     lines = [x for x in text.split("\n") if x.strip()]
     if not lines:
@@ -65,8 +70,8 @@ def stats_of(text: str, common: set[str]) -> tuple[float, ...] | None:
     n = len(ws)
     solid = sum(len(x) for x in text.split())
     symbols = [c for c in plain if not (c.isalnum() or c.isspace())]
-    # symbols outside ordinary writing, and capitals within words that have small letters before them
-    odd = sum(c not in PLAIN for c in symbols) + len(re.findall(r"(?<=[a-zà-ÿ])[À-ÞŸ-ſЀ-ӿ]", plain))
+    # symbols outside ordinary writing, and capitals right after small letters
+    odd = sum(c not in PLAIN for c in symbols) + len(_FLIP.findall(plain))
     hit = np.array([len(w) > 1 and w in common for w in ws], float)
     if n:
         cum = np.concatenate([[0], np.cumsum(hit)])
@@ -208,7 +213,7 @@ def fit_mixture(stats: DataFrame, common: set[str]) -> tuple[np.ndarray, np.ndar
 def classify_documents(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """doc_id, STATS, label ('prose', 'list', 'table', 'symbols' or 'broken') and sure (the mixture's probability of prose
     or of not prose, whichever is larger). An exact check of the words follows: what the mixture takes for prose must have
-    most of its words in running text and few odd characters, and what has nearly all of them there is prose; where the
+    most of its words in running text, few odd characters and words of usual length, and what has nearly all of them there is prose; where the
     mixture is not sure, or the document lies far out from its component, that check alone decides between prose and the
     likeliest other label. A NULL or blank text gives no row; an empty table gives an empty one."""
     stats = materialize(document_stats(documents, common_words), "textstats")
@@ -224,7 +229,7 @@ def classify_documents(documents: DataFrame, common_words: DataFrame) -> DataFra
             p = _posterior(z, model)
             good = p[:, prose].sum(axis=1)
             decided = (np.maximum(good, 1 - good) >= SURE) & (_distance(z, model, p.argmax(axis=1)) <= NEAR)
-            running = ((pdf["running_share"] > 0.5) & (pdf["odd_ratio"] < 0.03)).to_numpy()
+            running = ((pdf["running_share"] > 0.5) & (pdf["odd_ratio"] < ODD) & (pdf["mean_word_length"] < LONG)).to_numpy()
             clear = running & (pdf["running_share"] >= 0.9).to_numpy()
             is_prose = np.where(decided, (good > 0.5) & running | clear, running)
             other = np.array(named, object)[np.where(prose, -1.0, p).argmax(axis=1)]
