@@ -131,6 +131,29 @@ def test_lines(spark):
     assert (first["name"], first["lat"], first["lon"], first["alt"]) == ('A "q" b', 1.5, -2.0, 3.0)
 
 
+def verdicts(lines):
+    out = next(rejects._parse(iter([pd.DataFrame({"line_id": range(len(lines)), "file_name": "f", "line_no": range(len(lines)), "raw_line": lines})])))
+    return out.kind.where(out.kind != "bad", out.reason).tolist(), out.by.tolist()
+
+
+@given(st.lists(st.lists(st.sampled_from(['"', '""', " ", "\t", "A", "1", "2.5", "-3", "nan", "\r", "\n", "_", "é", '"A"', '"a b"', ",", "91", "\ue000", "\x02"]), max_size=12).map("".join), max_size=30))
+@settings(max_examples=60, deadline=None)
+def test_reader_and_check_together_follow_the_grammar(lines):
+    def want(line):
+        t = line.strip(" \t\r\n")
+        return "skip" if not rejects._UNSEEN.sub("", t) else rejects.judge(rejects.split_line(t)) or "row"
+
+    assert verdicts(lines)[0] == [want(x) for x in lines]
+
+
+def test_reader_decides_the_lines(monkeypatch):
+    lines = ['"A 1 2 3', '"A"B 1 2 3', "A 1 2", "A 1 2 3 4", "A x 2 3", "A 1 2 3"]
+    assert verdicts(lines) == (["quote", "quote", "columns", "columns", "value", "row"], ["reader"] * 6)
+    assert verdicts(['A"B 1 2 3', "A 91 2 3", "A nan 2 3", "A 1_0 2 3"]) == (["quote", "value", "value", "value"], ["check"] * 4)
+    monkeypatch.setattr(rejects, "_read", lambda con, part, n: (pd.DataFrame({c: pd.Series(dtype=float) for c in ("line_id", "name", "lat", "lon", "alt")}), np.full(n, -1)))
+    assert set(verdicts(lines)[0]) == {"unread"}
+
+
 def test_no_lines(spark):
     good, bad = rejects.load_lines(spark.createDataFrame([], "line_id bigint, file_name string, line_no int, raw_line string"))
     assert good.count() == bad.count() == 0

@@ -34,6 +34,11 @@ def p2_rows(spark: SparkSession, d: str) -> DataFrame:
     return rejects.load_lines(table(spark, d, "location_lines"))[0]
 
 
+def p2_decided(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines the reader decided and how many the exact check behind it."""
+    return rejects.decided(table(spark, d, "location_lines"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Empty periods of each series."""
     grid = regrid.regular_grid(table(spark, d, "obs"), table(spark, d, "series"))
@@ -62,7 +67,7 @@ def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(table(spark, d, "obs"), table(spark, d, "series"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_millimetres, p2_found, p2_rows, p3_found, p3_grid, p4_found, p5_found, p5_reasons)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_millimetres, p2_found, p2_rows, p2_decided, p3_found, p3_grid, p4_found, p5_found, p5_reasons)}
 
 #: DuckDB equivalents. The others are tested against brute force (tests/test_data_quality.py).
 SQL = {
