@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tidemark import session
 from tidemark.operators import packed, regrid, rejects, spikes, units
 from tidemark.operators.blocks import ordered_blocks, whole_groups
 
@@ -241,19 +242,31 @@ def test_unpack_table(spark):
 # --- spikes ---
 
 
-def faulty(values, sigma):
+def faulty(values, hours=None):
     """Straight from the definition, one value at a time."""
     x = np.asarray(values, float)
     idx = np.flatnonzero(~np.isnan(x))
-    out = set()
+    hours = np.zeros(len(x), int) if hours is None else hours
+    off, dev = {}, dict.fromkeys(idx, 0.0)
     for a in range(len(idx)):
         for n in (1, 2, 3):
             before, after = x[idx[max(0, a - 8) : a]], x[idx[a + n : a + n + 8]]
             if len(before) < 2 or len(after) < 2 or a + n > len(idx):
                 continue
             b, c, v = np.median(before), np.median(after), x[idx[a : a + n]]
-            if (v > max(b, c) + 6.35 * sigma).all() or (v < min(b, c) - 6.35 * sigma).all():
-                out |= set(idx[a : a + n])
+            if n == 1:
+                off[idx[a]] = x[idx[a]] - (b + c) / 2
+            far = max((v - max(b, c)).min(), 0) or -max((min(b, c) - v).min(), 0)
+            for i in idx[a : a + n]:
+                dev[i] = far if abs(far) > abs(dev[i]) else dev[i]
+    out = set()
+    whole = np.quantile(list(off.values()), [0.25, 0.75])
+    for h in set(hours[list(off)]):
+        mine = [v for i, v in off.items() if hours[i] == h]
+        w = len(mine) / (len(mine) + 200)
+        q1, q3 = w * np.quantile(mine, [0.25, 0.75]) + (1 - w) * whole
+        k = (6 - 0.67448975) / 1.3489795
+        out |= {i for i, d in dev.items() if hours[i] == h and (d > q3 + k * (q3 - q1) or d < q1 - k * (q3 - q1))}
     run = 0
     for a in range(len(idx)):
         run = run + 1 if a and x[idx[a]] == x[idx[a - 1]] else 1
@@ -262,10 +275,7 @@ def faulty(values, sigma):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [1_000_000, 1000])
-def test_spikes_against_the_definition(spark, block_rows, monkeypatch):
-    if block_rows == 1000:
-        monkeypatch.setattr(spikes, "BROADCAST_ROWS", 0)  # the way beyond the bound
+def spike_series():
     rng = np.random.default_rng(8)
     series = {}
     for s, n in ((1, 300), (2, 400), (3, 4500)):
@@ -278,15 +288,39 @@ def test_spikes_against_the_definition(spark, block_rows, monkeypatch):
         x[150:155] = x[149] if s != 2 else x[150]  # five or six equal
         x[60:63] = np.nan
         series[s] = x
-    obs = make_obs(spark, series)
-    spec = make_series(spark, [{"series_id": s, "data_unit": "mm"} for s in series])
-    got = spikes.implausible(obs, spec, block_rows=block_rows).toPandas()
+    return series
+
+
+def flagged(spark, obs, spec, **kw):
+    got = spikes.implausible(obs, spec, **kw).toPandas()
     at = obs.toPandas().assign(i=lambda d: d.groupby("series_id").cumcount()).set_index("obs_id")
-    for s, x in series.items():
-        mine = {at.i[o] for o in got.obs_id if at.series_id[o] == s}
-        d = np.diff(x[~np.isnan(x)])
-        q1, q3 = np.quantile(d, [0.25, 0.75])
-        assert mine == faulty(x, (q3 - q1) / 1.3489795 / np.sqrt(2))
+    return {s: {at.i[o] for o in got.obs_id if at.series_id[o] == s} for s in at.series_id.unique()}
+
+
+@pytest.mark.parametrize("block_rows", [1_000_000, 1000])
+def test_spikes_against_the_definition(spark, block_rows, monkeypatch):
+    if block_rows == 1000:
+        monkeypatch.setattr(session, "BROADCAST_BYTES", 0)  # the way beyond the bound
+    series = spike_series()
+    spec = make_series(spark, [{"series_id": s, "data_unit": "mm"} for s in series])
+    got = flagged(spark, make_obs(spark, series), spec, block_rows=block_rows)
+    assert got == {s: faulty(x) for s, x in series.items()}
+
+
+def test_fences_decide_by_hour_context(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 2400  # hourly; calm from midnight to six, rough for the rest of the day
+    hours = np.arange(n) % 24 // 6
+    x = rng.normal(0, np.where(hours == 0, 0.3, 2.4))
+    x[[603, 1203]] += 8.0  # at three o'clock: far outside the calm hours' fences, inside the rough ones'
+    x[[615, 1215]] += 8.0
+    obs, spec = make_obs(spark, {1: x}, 3600), make_series(spark, [{"series_id": 1, "data_unit": "mm", "step_s": 3600}])
+    got = flagged(spark, obs, spec)[1]
+    assert got == faulty(x, hours) and {603, 1203} <= got and not {615, 1215} & got
+    monkeypatch.setattr(spikes, "LEAN", 1e12)  # without contexts the night spikes pass
+    assert not {603, 1203} & flagged(spark, obs, spec)[1]
+    monkeypatch.setattr(spikes, "FENCE_IQR", 0.0)  # without the expansion good readings fall
+    assert len(flagged(spark, obs, spec)[1]) > 50
 
 
 def test_limits_variances_and_copies(spark):

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow per-series or per-station table may be broadcast (about 64 MB at 250 bytes a row).
-BROADCAST_ROWS = 250_000
+#: Bytes up to which a table of series or stations may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,23 +34,64 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a session in one process, as in tests, gets a folder of
+    its own where that is unset; on a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file:///tmp/tidemark-shared-{os.getuid()}"
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_dir()
+
+
+@functools.cache
+def _own_dir() -> str:
+    at = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, at, True)
+    return f"file://{at}"
+
+
+_WRITTEN: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write `df` to the shared folder and read it back. Survives the loss of executors."""
+    """Cut lineage: write `df` to the shared folder and read it back. Survives the loss of executors. The table stays
+    until `release` or the end of the program, since results read it lazily."""
     at = f"{shared_dir(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.append(at)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def sized(df: DataFrame, most: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `most` rows (counted here unless `rows` is given); else as it
-    is, and the join shuffles under AQE's skew handling."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= most else df
+def release() -> None:
+    """Delete every table that `materialize` wrote in this program; results that still read them must be done."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        jvm = spark.sparkContext._jvm
+        for at in _WRITTEN:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.clear()
+
+
+def _width(df: DataFrame):
+    """Bytes of a row in memory: 8 for each field, the text of strings, 16 for each entry of arrays and maps."""
+    total = F.lit(24 + 8 * len(df.columns))
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map"):
+            total = total + F.coalesce(F.greatest(F.size(f.name), F.lit(0)) * 16, F.lit(0))
+        elif kind == "struct":
+            total = total + F.lit(8 * len(f.dataType.fields))
+    return total
+
+
+def sized(df: DataFrame, most: int | None = None) -> DataFrame:
+    """`df` with a broadcast hint if its rows take at most `most` bytes (BROADCAST_BYTES by default; they are added up
+    here); else as it is, and the join shuffles under AQE's skew handling."""
+    size = df.agg(F.sum(_width(df)).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if most is None else most) else df

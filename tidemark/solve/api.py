@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.blocks import starts
 from tidemark.operators.series import laid
-from tidemark.session import BROADCAST_ROWS, sized
+from tidemark.session import sized
 from tidemark.solve import dense
 from tidemark.solve.models import ModelSpec, columns, design_all
 
@@ -206,7 +206,7 @@ def evaluate(obs: DataFrame, params: DataFrame, specs: Sequence[ModelSpec], data
         .select("station", *[_dense(f"m_{c}", len(owner)).alias(f"p_{c}") for c in data])
     )
     g = [x for s in specs for x in columns(s)]
-    rows = laid(obs.select("station", "t")).join(sized(packed, max(1000, BROADCAST_ROWS // max(1, len(owner)))), "station")
+    rows = laid(obs.select("station", "t")).join(sized(packed), "station")
     rows = rows.withColumn("_g", F.array(*g))
 
     def dot(c: str, low: int, high: int):
