@@ -113,10 +113,13 @@ def corpus(n=60):
     rows = []
     for k in range(n):
         prose = " ".join(f"The {word()} of the {word()} is {word()} because it was in the {word()}." for _ in range(4))
+        if k % 3 == 1:  # wrapped after some words
+            ws, width = prose.split(), int(rng.integers(1, 9))
+            prose = "\n".join(" ".join(ws[a : a + width]) for a in range(0, len(ws), width))
         rows.append((4 * k, prose if k % 3 else prose.upper().replace(". ", ".\n"), "prose"))
         rows.append((4 * k + 1, "\n".join(f"- {word()} / {word()}" for _ in range(10)), "list"))
         rows.append((4 * k + 2, "\n".join(" | ".join([word(), *(f"{rng.uniform(-9, 99):.2f}" for _ in range(4))]) for _ in range(6)), "table"))
-        rows.append((4 * k + 3, "".join(rng.choice(list("{}[]<>!@#$%^&*~=+|ab01 "), 120)), "symbols"))
+        rows.append((4 * k + 3, "".join(rng.choice(list("{}[]<>!@#$%^&*~=+|ab01 "), 120)), "junk"))
     return rows
 
 
@@ -131,11 +134,38 @@ def test_labels(spark, data):
     wrong = [i for i, s in want.items() if (got[i] == "prose") != (s == "prose")]
     assert not wrong
     assert got[9013] == "prose"
-    same = np.mean([got[i] == s for i, s in want.items() if s in ("list", "table", "symbols")])
+    same = np.mean([got[i] == s for i, s in want.items() if s in ("list", "table", "junk")])
     assert same > 0.9
     assert textstats.classify_documents(docs(spark, []), words).count() == 0
 
 
+def test_mixture_decides_alone(spark, data, monkeypatch):
+    """Without the fit, prose is not told from the rest."""
+    rows = corpus(20)
+    words = spark.read.parquet(f"{data}/common_words.parquet")
+    label = lambda: {r["doc_id"]: r["label"] for r in textstats.classify_documents(docs(spark, rows), words).collect()}
+    fitted = label()
+    assert [i for i, _, s in rows if (fitted[i] == "prose") != (s == "prose")] == []
+    assert set(fitted.values()) == {"prose", "list", "table", "junk"}
+    fit = textstats.fit_mixture
+
+    def unfitted(stats, common):
+        centre, scale, (w, m, c), names = fit(stats, common)
+        return centre, scale, (w, np.zeros_like(m), c * 0 + np.eye(m.shape[1])), names
+
+    monkeypatch.setattr(textstats, "fit_mixture", unfitted)
+    assert len(set(label().values())) == 1
+
+
+def test_long_word_lists_are_joined(spark, monkeypatch):
+    rows = corpus(6) + [(9001, "", "x"), (9002, "é", "x"), (1, "The the", "x"), (9003, "zzz", "x")]
+    words = spark.createDataFrame([("en", w, i) for i, w in enumerate(COMMON + [None, "THE"])], "lang string, word string, word_rank int")
+    got = lambda: sorted(map(tuple, textstats.document_stats(docs(spark, rows), words).collect()))
+    held = got()
+    monkeypatch.setattr(textstats, "COMMON_BYTES", 0)
+    assert got() == held and len(held) == 27
+
+
 def test_stats_of_a_text():
     s = dict(zip(textstats.STATS, textstats.stats_of("The end.\nx1 % y", {"the", "end"})))
     assert s["n_words"] == 4 and s["n_lines"] == 2 and s["punctuated_lines"] == 0.5 and s["common_share"] == 0.5 and s["digit_word_share"] == 0.25

@@ -2,7 +2,8 @@
 
 The statistics are standardised over all documents and a Gaussian mixture is fitted to them by expectation-maximisation:
 each round every partition sums its responsibilities, and only those sums come to the driver. The components start at
-the inspected examples below and take their names from them after the fit.
+the inspected examples below and take their names from them after the fit: prose, list, table or junk. The likelier name
+is a document's label.
 """
 
 from __future__ import annotations
@@ -23,30 +24,28 @@ SCHEMA = "doc_id bigint, " + ", ".join(f"{s} double" for s in STATS)
 FEATURES = ["mean_word_length", "symbol_ratio", "odd_ratio", "digit_word_share", "punctuated_lines", "words_per_line", "common_share", "running_share"]
 #: Words on either side over which a word's share of common words is taken; from RUNNING up it stands in running text.
 REACH, RUNNING = 6, 0.2
-#: SURE: probability from which the mixture decides. NEAR: squared distance to its component up to which it does, the
-#: 0.999 quantile of chi-squared with 8 degrees of freedom.
-#: ODD and LONG: share of odd characters, and mean word length, from which a text does not run.
-ROUNDS, FLOOR, SURE, NEAR, ODD, LONG = 25, 0.02, 0.99, 26.12, 0.03, 14.0
-COMMON_LIMIT = 200_000
+ROUNDS, FLOOR = 25, 0.02
+#: Bytes of common words up to which every task holds the list; a longer one is joined to the words of the documents.
+COMMON_BYTES = 16 << 20
 
-#: Inspected examples: what each component starts from and is named by.
+#: Inspected examples: what each component starts from and is named by (the name before the colon).
 EXAMPLES = [
-    ("prose", "The road near the village is closed because the storm moved the bridge. After two days the people of the valley found the map."),
-    ("prose", "Die Brücke ist alt, und der Müller hebt das Fenster; das war in der Stadt bekannt.\nWir sahen, dass der Rat noch eng war."),
-    ("prose", "Nous avons vu que la pente limite le rocher, mais le lac était encore froid. De la ville vint la nouvelle que le pont porte la route."),
-    ("prose", "La gente de la ciudad mira el puerto cuando el tren cambia la vista.\nNo se sabe si el río sigue la carta una vez más."),
-    ("prose", "It is not clear whether the teacher or the captain\nwatches the island in the morning, but the crew was\nstill late."),
-    ("list", "- market\n- school\n- tower\n- pillar\n- garden\n- basin"),
-    ("list", "1) tower / engineer (85)\n2) antenna / harbour (263)\n3) glacier / train (711)\n4) clock / storm (12)"),
-    ("list", "school Lopemund:\n• Turm\n• Markt.\n• Lehrer\n• Uhr;\n• Karte"),
-    ("list", "Home\nHelp\nSearch\nPrint\nMenu\nLogin\nTop\nMap\nNext\nBack"),
-    ("table", "| station | east | north |\n| --- | --- | --- |\n| Tulmark | 54.9 | 639.140 |\n| Gorlane | n/a | 281.54 |\n| Zorvin | -89 | 12.3 |"),
-    ("table", "name,lat,lon\nKarvel,0.118,350.0\nFalorne,744.06,n/a\nGorlane,703.4,770.2"),
-    ("table", "Tower\tClock\tTrain\nKarvel\t392\t577\nZorvin\tn/a\t25.8\nFalorne\t596.05\t459.3"),
-    ("symbols", "/{!<=@y111-/[+1>*!0@1#@@11-cbc0 ~}_=x<|&^%$ 9+{?]"),
-    ("symbols", "*@zx>#}0?.}c=bz[c@x.$.$/z$$+|*-_? 0{[$a\\9y[c=!$zbb_"),
-    ("broken", "La cÂam�ba©anceŸdemande le vaŸrar©Ñr et¼ŸÂ�s¼ ©e™lac¼ÐenÃirŸ¼ 3Â5 ÃoisŸpÃr ™n.ÃÃ"),
-    ("broken", "Après Ÿ9 j€uŸÑ l€ â€o€u¼¼nÐÂ ™hangeÑle village en même™¼eÃpÃâ Despu�s de€3¼Ÿ ©ŸÃÂÑ�a"),
+    ("prose", "She put the kettle on because her guests were cold. After an hour all of them had gone to sleep, and nobody saw that it was snowing."),
+    ("prose", "Ich habe den Kuchen gebacken, und die Kinder haben ihn schon gegessen; das war nicht anders zu erwarten.\nMorgen gibt es noch einen, wenn wir Mehl haben."),
+    ("prose", "Nous avons mangé les cerises que ma tante nous avait données, mais il en reste encore dans le panier. Elle en apportera d'autres avec du pain."),
+    ("prose", "Mi abuela hace el pan por la noche y lo vende cuando sale el sol.\nNo se sabe si la harina que compra es de aquí o de fuera."),
+    ("prose", "He did not think that the soup would be ready\nbefore they were all at the table, but it was, and\nthere was even more of it than they could eat."),
+    ("list", "- apples\n- flour\n- sugar\n- butter\n- raisins\n- yeast"),
+    ("list", "1) spoon / fork (85)\n2) knife / bowl (263)\n3) saucer / jug (711)\n4) ladle / sieve (12)"),
+    ("list", "zum Backen (Teil 2):\n• Mehl\n• Hefe.\n• Salz\n• Milch;\n• Zimt"),
+    ("list", "Account\nShop\nBasket\nCheckout\nSizes\nReturns\nAbout\nImprint\nNewsletter\nUp"),
+    ("table", "| fruit | kilos | price |\n| --- | --- | --- |\n| plums | 54.9 | 639.140 |\n| pears | n/a | 281.54 |\n| limes | -89 | 12.3 |"),
+    ("table", "fruit,kilos,price\nplums,0.118,350.0\npears,744.06,n/a\nlimes,703.4,770.2"),
+    ("table", "Cake\tEggs\tMilk\nsponge\t392\t577\nfruit\tn/a\t25.8\nlemon\t596.05\t459.3"),
+    ("junk: symbols", "]~#k{8;&^v}w==@!<?o0/+%$>q_|\\[*z7&&(x^]:{0~#}!=b"),
+    ("junk: symbols", "$/4@@u{*}<+=_|q>9~&!^%[x.#]?;o\\k=$8 {_!+/h#}=@w"),
+    ("junk: broken", "Elle ÃÂ a maÂngé leÃs cerÂ�iseŸs © avant ¼d'alÐleÑr auÃ mŸarchÃ©; ™il enÂ r€estÃ©ait"),
+    ("junk: broken", "Der KÂuchÐen wÃar noc¼h waÂrm, als Ã¤lÑle gi™ngen ©und dÃ€ie TÂürÃ Ÿoffen bl¼ieb �"),
 ]
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -57,16 +56,21 @@ _FLIP = re.compile("(?<=[a-z\u00e0-\u00ff])[A-Z\u00c0-\u00de\u0178-\u017f\u0400-
 PLAIN = set(".,;:!?'\"()[]-–—«»„“”‘’…¿¡/&%*_#•·|°`")
 
 
-def stats_of(text: str, common: set[str]) -> tuple[float, ...] | None:
-    """The STATS of one text, or None if it holds nothing but blanks."""
+def words_of(text: str) -> tuple[list[str], str, str]:
+    """The words of a text in lower case, the text without invisible characters, and that without markup tags."""
     text = text.replace("\xad", "").replace("\u200b", "")
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)  # an accent apart from its letter is no odd character
     plain = _TAG.sub(" ", text) if "<" in text else text
+    return _WORD.findall(plain.lower()), text, plain
+
+
+def stats_of(text: str, common: set[str]) -> tuple[float, ...] | None:
+    """The STATS of one text, or None if it holds nothing but blanks."""
+    ws, text, plain = words_of(text)
     lines = [x for x in text.split("\n") if x.strip()]
     if not lines:
         return None
-    ws = [w.lower() for w in _WORD.findall(plain)]
     n = len(ws)
     solid = sum(len(x) for x in text.split())
     symbols = [c for c in plain if not (c.isalnum() or c.isspace())]
@@ -92,19 +96,38 @@ def stats_of(text: str, common: set[str]) -> tuple[float, ...] | None:
     )
 
 
+def _word_list(common_words: DataFrame) -> DataFrame:
+    return common_words.select(F.lower("word").alias("word")).filter("word is not null").distinct()
+
+
 def document_stats(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """doc_id and STATS of every document; a text that is NULL or blank gives no row. Common words of all languages
-    count, since language tags err; `common_words` is a word list of at most COMMON_LIMIT rows."""
-    common = {r[0] for r in common_words.select(F.lower("word")).filter("word is not null").limit(COMMON_LIMIT + 1).collect()}
-    if len(common) > COMMON_LIMIT:
-        raise ValueError(f"common_words has more than {COMMON_LIMIT} words")
+    """doc_id and STATS of every document; a text that is NULL or blank gives no row, a repeated row one for each. Common
+    words of all languages count, since language tags err. A word list beyond COMMON_BYTES is joined to the words of the
+    documents instead of being held by every task; the statistics are the same."""
+    texts = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    words = _word_list(common_words)
+    size = words.agg(F.sum(F.octet_length("word") + 60).alias("n")).first()["n"] or 0
+    if size <= COMMON_BYTES:
+        common = {r[0] for r in words.collect()}
+        held = texts
+    else:
+        common = None
+
+        def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                pairs = [(d, w) for d, t in zip(pdf["doc_id"], pdf["text"]) for w in set(words_of(t)[0])]
+                yield pd.DataFrame(pairs, columns=["doc_id", "word"]).astype({"doc_id": "int64"})
+
+        own = texts.mapInPandas(split, "doc_id bigint, word string").join(words, "word").groupBy("doc_id").agg(F.collect_set("word").alias("common"))
+        held = texts.join(own, "doc_id", "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(d, *s) for d, t in zip(pdf["doc_id"], pdf["text"]) if t and (s := stats_of(t, common))]
+            known = [common] * len(pdf) if common is not None else [set() if w is None else set(w) for w in pdf["common"]]
+            rows = [(d, *s) for d, t, c in zip(pdf["doc_id"], pdf["text"], known) if t and (s := stats_of(t, c))]
             yield pd.DataFrame(rows, columns=["doc_id", *STATS]).astype({"doc_id": "int64"} | {s: float for s in STATS})
 
-    return documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(run, SCHEMA)
+    return held.mapInPandas(run, SCHEMA)
 
 
 def _shape(f: np.ndarray) -> np.ndarray:
@@ -134,16 +157,6 @@ def _posterior(z: np.ndarray, model: tuple) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def _distance(z: np.ndarray, model: tuple, comp: np.ndarray) -> np.ndarray:
-    """Squared Mahalanobis distance of each row to its component."""
-    out = np.empty(len(z))
-    for k in np.unique(comp):
-        at = comp == k
-        y = np.linalg.solve(np.linalg.cholesky(model[2][k]), (z[at] - model[1][k]).T)
-        out[at] = (y * y).sum(axis=0)
-    return out
-
-
 def fit_mixture(stats: DataFrame, common: set[str]) -> tuple[np.ndarray, np.ndarray, tuple, list[str]]:
     """(centre, scale, (weights, means, covariances), names) of the mixture fitted to all rows of `stats`."""
     d = len(FEATURES)
@@ -207,34 +220,29 @@ def fit_mixture(stats: DataFrame, common: set[str]) -> tuple[np.ndarray, np.ndar
     post = _posterior(seen, model)
     vote = np.array([[post[of == j, comp].sum() for j in range(k)] for comp in range(k)])
     named = [names[int(vote[comp].argmax())] if vote[comp].sum() > 0.5 else names[comp] for comp in range(k)]
-    return centre, scale, model, named
+    return centre, scale, model, [x.split(":")[0] for x in named]
 
 
 def classify_documents(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """doc_id, STATS, label ('prose', 'list', 'table', 'symbols' or 'broken') and sure (the mixture's probability of prose
-    or of not prose, whichever is larger). An exact check of the words follows: what the mixture takes for prose must have
-    most of its words in running text, few odd characters and words of usual length, and what has nearly all of them there is prose; where the
-    mixture is not sure, or the document lies far out from its component, that check alone decides between prose and the
-    likeliest other label. A NULL or blank text gives no row; an empty table gives an empty one."""
+    """doc_id, STATS, label ('prose', 'list', 'table' or 'junk') and sure (the mixture's probability of prose or of not
+    prose, whichever is larger). The label is the name of the components that together are likeliest, prose against the
+    rest first. A NULL or blank text gives no row; an empty table gives an empty one."""
     stats = materialize(document_stats(documents, common_words), "textstats")
-    common = {r[0] for r in common_words.select(F.lower("word")).filter("word is not null").collect()}
+    shown = sorted({w for _, t in EXAMPLES for w in words_of(t)[0]})
+    common = {r[0] for r in _word_list(common_words).filter(F.col("word").isin(shown)).collect()}  # words of the examples
     centre, scale, model, named = fit_mixture(stats, common)
-    prose = np.array([x == "prose" for x in named])
+    names = ["prose", *dict.fromkeys(x for x in named if x != "prose")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if not len(pdf):
                 continue
-            z = (_shape(pdf[FEATURES].to_numpy(float)) - centre) / scale
-            p = _posterior(z, model)
-            good = p[:, prose].sum(axis=1)
-            decided = (np.maximum(good, 1 - good) >= SURE) & (_distance(z, model, p.argmax(axis=1)) <= NEAR)
-            running = ((pdf["running_share"] > 0.5) & (pdf["odd_ratio"] < ODD) & (pdf["mean_word_length"] < LONG)).to_numpy()
-            clear = running & (pdf["running_share"] >= 0.9).to_numpy()
-            is_prose = np.where(decided, (good > 0.5) & running | clear, running)
-            other = np.array(named, object)[np.where(prose, -1.0, p).argmax(axis=1)]
+            p = _posterior((_shape(pdf[FEATURES].to_numpy(float)) - centre) / scale, model)
+            by_name = np.column_stack([p[:, [x == n for x in named]].sum(axis=1) for n in names])
+            good = by_name[:, 0]
+            other = by_name[:, 1:].argmax(axis=1) + 1 if len(names) > 1 else np.zeros(len(p), int)
             out = pdf.copy()
-            out["label"] = np.where(is_prose, "prose", other)
+            out["label"] = np.array(names, object)[np.where(good > 0.5, 0, other)]
             out["sure"] = np.maximum(good, 1 - good)
             yield out
 
