@@ -2,10 +2,10 @@
 every passage.
 
 Each task turns its documents into shards of at most `shard_words` words and builds a suffix array of each shard by
-prefix doubling, together with the test suffixes, so that a rank comparison is a comparison of the next 16 words. Binary
-search then gives, for every test suffix, all places of the shard that agree with it in `min_words` words; places that a
-longer match already covers are dropped and the rest extended word by word to the longest verbatim match. Words that no
-passage holds cannot match and end a suffix. There is no shuffle of the corpus.
+prefix doubling, ranking the test suffixes along with it. Binary search then gives, for every test suffix, all places of
+the shard that agree with it in `min_words` words, without those that a longer match covers; the ranks of the doubling
+give the length of each longest verbatim match. Words that no passage holds cannot match and end a suffix. There is no
+shuffle of the corpus.
 """
 
 from __future__ import annotations
@@ -41,20 +41,38 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return np.unique(key, return_inverse=True)[1].astype(np.int64)
 
 
-def _ranks(a: np.ndarray, length: int) -> np.ndarray:
-    """Dense ranks of the `length`-word substring from each position (0 stands for an end and is shared)."""
-    have, rank, done = {}, _dense(a), 1
-    have[1] = rank
-    while done * 2 <= length:
-        nxt = np.concatenate([rank[done:], np.zeros(min(done, len(rank)), np.int64)])
-        rank = _dense(rank * (nxt.max(initial=0) + 1) + nxt)
-        done *= 2
-        have[done] = rank
-    if done < length:
-        step = length - done  # two overlapping pieces cover the length
-        nxt = np.concatenate([rank[step:], np.zeros(min(step, len(rank)), np.int64)])
-        rank = _dense(rank * (nxt.max(initial=0) + 1) + nxt)
-    return rank
+def _rank_tables(a: np.ndarray) -> list[np.ndarray]:
+    """Prefix doubling: table k holds the dense ranks of the 2**k-word substrings from each position, the last one those of
+    the whole suffixes. Positions behind the end count as 0."""
+    tables = [_dense(a)]
+    while tables[-1].max(initial=0) + 1 < len(a) and 2 ** len(tables) < 2 * len(a):
+        rank, step = tables[-1], 2 ** (len(tables) - 1)
+        nxt = np.concatenate([rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64)])
+        tables.append(_dense(rank * (nxt.max(initial=0) + 1) + nxt))
+    return tables
+
+
+def _ranks(tables: list[np.ndarray], length: int) -> np.ndarray:
+    """Dense ranks of the `length`-word substrings: two pieces of a power of two that together cover them."""
+    k = min(length.bit_length() - 1, len(tables) - 1)
+    if 2**k >= length or k == len(tables) - 1:
+        return tables[k]
+    step = length - 2**k
+    nxt = np.concatenate([tables[k][step:] + 1, np.zeros(min(step, len(tables[k])), np.int64)])
+    return _dense(tables[k] * (nxt.max(initial=0) + 1) + nxt)
+
+
+def _common(tables: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Words that the suffixes from a and from b share, from the longest power of two down."""
+    a, b, n = a.copy(), b.copy(), len(tables[0])
+    length = np.zeros(len(a), np.int64)
+    for k in range(len(tables) - 1, -1, -1):
+        inside = (a < n) & (b < n)
+        same = np.zeros(len(a), bool)
+        same[inside] = tables[k][a[inside]] == tables[k][b[inside]]
+        for x in (length, a, b):
+            x[same] += 2**k
+    return length
 
 
 def shard_matches(corpus: np.ndarray, tests: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +85,6 @@ def shard_matches(corpus: np.ndarray, tests: np.ndarray, min_words: int) -> tupl
     zeros = np.flatnonzero(both == 0)
     left = zeros[np.searchsorted(zeros, np.arange(len(both)))] - np.arange(len(both))
     full = left >= min_words
-    keep = np.zeros(len(both), bool)
     starts = np.flatnonzero(full)
     if not len(starts):
         return none, none, none
@@ -78,27 +95,31 @@ def shard_matches(corpus: np.ndarray, tests: np.ndarray, min_words: int) -> tupl
     keep[np.minimum(np.flatnonzero(keep) + 1, len(both) - 1)] = True  # with the 0 behind each piece
     place = np.flatnonzero(keep)
     small, ok = both[place], full[place]
-    rank = _ranks(small, min_words)
+    small = np.where(small == 0, -np.arange(len(small)), small)  # no two ends are alike
+    tables = _rank_tables(small)
     is_test = place > n + 1
     c, t = np.flatnonzero(ok & ~is_test), np.flatnonzero(ok & is_test)
     if not len(c) or not len(t):
         return none, none, none
-    order = c[np.argsort(rank[c], kind="stable")]  # the suffix array of the shard, to min_words words
-    low, high = np.searchsorted(rank[order], rank[t], "left"), np.searchsorted(rank[order], rank[t], "right")
-    count = high - low
-    test = np.repeat(t, count)
-    at = order[np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
-    a, b = place[at], place[test]
-    fresh = both[a - 1] != both[b - 1]
-    fresh |= both[a - 1] == 0
-    a, b = a[fresh], b[fresh]
-    length = np.full(len(a), min_words)
-    live = np.arange(len(a))
-    while len(live):
-        x, y = both[a[live] + length[live]], both[b[live] + length[live]]
-        live = live[(x == y) & (x != 0)]
-        length[live] += 1
-    return a - 1, b - n - 2, length
+    # the suffix array of the shard; among suffixes alike in min_words words those with the same word before stand together
+    head = _ranks(tables, min_words)
+    width = int(both.max()) + 1
+    before = both[place - 1]
+    key = head[c] * width + before[c]
+    order = c[np.lexsort((tables[-1][c], key))]
+    heads, keys = head[order], np.sort(key)
+    low, high = np.searchsorted(heads, head[t], "left"), np.searchsorted(heads, head[t], "right")
+    # what the word before extends is part of a longer match, unless there is no word before
+    own = head[t] * width + before[t]
+    some = before[t] != 0
+    inner = np.where(some, np.searchsorted(keys, own, "left"), low)
+    outer = np.where(some, np.searchsorted(keys, own, "right"), low)
+    lo, hi, of = np.concatenate([low, outer]), np.concatenate([inner, high]), np.concatenate([t, t])
+    count = hi - lo
+    test = np.repeat(of, count)
+    at = order[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+    length = _common(tables, at, test)
+    return place[at] - 1, place[test] - n - 2, length
 
 
 def _search(ids: list[int], passages: list[list[str]], min_words: int, shard_words: int):
