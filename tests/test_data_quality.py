@@ -207,6 +207,12 @@ def test_grid_of_nothing(spark):
 
 # --- packed fields ---
 
+CODES = packed.Codes(
+    360,
+    {"semicolon": 230, "none": 90, "blank": 70, "comma": 70, "bar": 50, "slash": 50, "hyphen": 25, "semicolon+slash": 1, "semicolon quoted": 40, "label": 9, "and": 9, "or": 9, "dash": 9, "tab": 9, "line": 9, "ampersand": 9},
+    {v: 3 for v in range(361)} | {None: 40, "NP1:": 20, "NP2:": 20},
+)
+
 
 @pytest.mark.parametrize(
     "text, values",
@@ -214,22 +220,30 @@ def test_grid_of_nothing(spark):
         ("248;294.0", [248, 294]), ("013", [13]), ('"138";"101"', [138, 101]), ("NP1=58, NP2=1", [58, 1]), ("NP1: 39 NP2: 2", [39, 2]), ('"22" "131"', [22, 131]), ("(31|68)", [31, 68]),
         ("105-253", [105, 253]), ("23 and 15", [23, 15]), ("44\n33", [44, 33]), ("10°", [10]), ("-/229.0", [None, 229]), ('"nan";"70"', [None, 70]), (";168", [None, 168]), ("5;;7", [5, None, 7]),
         ("12;", [12, None]), ("1|80.0/2", [1, 80, 2]), (" 345;249°/250;127 ", [345, 249, 250, 127]), ("141   7", [141, 7]), ("361", [None]), ("-5;6", [None, 6]), ("10.5;6", [None, 6]), ("", [None]),
-        ("7 or 59", [7, 59]), ("89–31", [89, 31]), ("[60;NA]", [60, None]), ('"14|nan|260"', [14, None, 260]), ("88\t57°", [88, 57]), ("A & B", [None, None]),
+        ("7 or 59", [7, 59]), ("89–31", [89, 31]), ("[60;NA]", [60, None]), ('"14|nan|260"', [14, None, 260]), ("88\t57°", [88, 57]), ("A & B", [None]),
     ],
 )
-def test_unpack_texts(spark, text, values):
-    corpus = [(i, f"{i % 361};{(i * 7) % 361}", None) for i in range(400)]
-    bits, unseen = packed._codes({v: 3 for v in range(361)} | {None: 40})
-    assert packed.parse(text, 360, bits, unseen)[1] == values
-    assert len(corpus) == 400
+def test_unpack_texts(text, values):
+    assert packed.parse(text, 360, CODES)[1] == values
 
 
 @given(st.lists(st.one_of(st.integers(0, 360), st.none()), min_size=2, max_size=5).filter(lambda v: any(x is not None for x in v)), st.sampled_from([";", "|", "/", ", ", "; ", " | "]), st.booleans())
 @settings(max_examples=150, deadline=None)
 def test_unpack_round_trip(values, sep, quoted):
     write = lambda v: "" if v is None else f'"{v}"' if quoted else str(v)
-    bits, unseen = packed._codes({v: 3 for v in range(361)} | {None: 40})
-    assert packed.parse(sep.join(map(write, values)), 360, bits, unseen)[1] == values
+    assert packed.parse(sep.join(map(write, values)), 360, CODES)[1] == values
+
+
+def test_code_lengths_decide(spark, monkeypatch):
+    """`a - b` is two values with a hyphen or three with blanks and a missing one: what else the table holds decides."""
+    table = lambda texts: spark.createDataFrame([(i, t) for i, t in enumerate(["7 - 9", *texts])], "id int, strike string")
+    got = lambda texts: [r["degrees"] for r in packed.unpack(table(texts), "id", {"strike": 360}).filter("id = 0").orderBy("pos").collect()]
+    hyphens = [f"{k % 361}-{k * 7 % 361}" for k in range(400)]
+    blanks = [f"7 {'-' if k % 2 else 9} 9" for k in range(400)]
+    assert got(hyphens) == [7, 9]
+    assert got(blanks) == [7, None, 9]
+    monkeypatch.setattr(packed, "_lengths", lambda counts: (None, 0.0))  # codes of the form alone
+    assert got(blanks) == [7, 9]
 
 
 def test_unpack_table(spark):
