@@ -239,7 +239,7 @@ def test_code_lengths_decide(spark, monkeypatch):
     table = lambda texts: spark.createDataFrame([(i, t) for i, t in enumerate(["7 - 9", *texts])], "id int, strike string")
     got = lambda texts: [r["degrees"] for r in packed.unpack(table(texts), "id", {"strike": 360}).filter("id = 0").orderBy("pos").collect()]
     hyphens = [f"{k % 361}-{k * 7 % 361}" for k in range(400)]
-    blanks = [f"7 {'-' if k % 2 else 9} 9" for k in range(400)]
+    blanks = [f"7 {'nan' if k % 2 else 9} 9" for k in range(400)]
     assert got(hyphens) == [7, 9]
     assert got(blanks) == [7, None, 9]
     monkeypatch.setattr(packed, "_lengths", lambda counts: (None, 0.0))  # codes of the form alone
