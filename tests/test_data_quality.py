@@ -194,11 +194,26 @@ def test_grid_marks_and_fills(spark):
     assert {r[0] for r in long.filter("series_id = 99").select("state").distinct().collect()} == {"observed", "marked"}
 
 
-def test_grid_cut_into_small_tiles_has_the_same_slots(spark):
-    x = {s: np.where(np.arange(300) % 7 == s % 7, np.nan, np.arange(300.0)) for s in range(1, 6)}
+@pytest.mark.parametrize("bound", [None, 0])
+def test_fill_does_not_depend_on_the_tiles(spark, bound, monkeypatch):
+    if bound is not None:
+        monkeypatch.setattr(session, "BROADCAST_BYTES", bound)
+    rng = np.random.default_rng(9)
+    common = rng.normal(0, 5, 150).cumsum()
+    x = {s: np.where(rng.random(150) < 0.15, np.nan, common * (0.5 + 0.1 * s) + rng.normal(0, 0.2, 150)) for s in range(1, 13)}
     obs, spec = make_obs(spark, x), make_series(spark, [{"series_id": s} for s in x])
-    key = lambda g: sorted((r["series_id"], r["slot"], r["empty"]) for r in g.collect())
-    assert key(regrid.regular_grid(obs, spec)) == key(regrid.regular_grid(obs, spec, window=32, tile_cells=40))
+    whole, cut = (regrid.regular_grid(obs, spec, window=64, tile_cells=n).toPandas().sort_values(["series_id", "slot"]).reset_index(drop=True) for n in (250_000, 200))
+    assert (whole.east_state == regrid.FILLED).sum() > 100
+    assert whole[["series_id", "slot", "empty", "east_state"]].equals(cut[["series_id", "slot", "empty", "east_state"]])
+    assert np.allclose(whole.east, cut.east, rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
+def test_held_out_cells(spark):
+    rng = np.random.default_rng(5)
+    common = rng.normal(0, 5, 400).cumsum()
+    x = {s: common * (0.5 + 0.2 * s) + rng.normal(0, 0.05, 400) for s in range(1, 9)}
+    got = regrid.held_out(make_obs(spark, x), make_series(spark, [{"series_id": s} for s in x])).collect()
+    assert [r["col_name"] for r in got] == ["east"] and 100 < got[0]["filled"] == got[0]["hidden"] < 230 and got[0]["error"] < 0.05
 
 
 def test_grid_of_nothing(spark):

@@ -51,6 +51,11 @@ def p3_grid(spark: SparkSession, d: str) -> DataFrame:
     return regrid.long_grid(regrid.regular_grid(table(spark, d, "obs"), series), series)
 
 
+def p3_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """How well hidden readings are filled, by sampling interval and column."""
+    return regrid.held_out(table(spark, d, "obs"), table(spark, d, "series"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Angles of nodal planes, one row each."""
     got = packed.unpack(table(spark, d, "catalog_eq"), "eq_id", ANGLES)
@@ -67,7 +72,7 @@ def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(table(spark, d, "obs"), table(spark, d, "series"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_millimetres, p2_found, p2_rows, p2_decided, p3_found, p3_grid, p4_found, p5_found, p5_reasons)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_millimetres, p2_found, p2_rows, p2_decided, p3_found, p3_grid, p3_held_out, p4_found, p5_found, p5_reasons)}
 
 #: DuckDB equivalents. The others are tested against brute force (tests/test_data_quality.py).
 SQL = {
