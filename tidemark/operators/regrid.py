@@ -24,12 +24,13 @@ from tidemark.operators.blocks import starts, whole_groups
 from tidemark.session import materialize, sized
 
 DATA = ["east", "north", "up"]
-WINDOW, TILE_CELLS = 512, 250_000
+WINDOW, TILE_CELLS = 32, 250_000
 PARTS = "step_s bigint, win bigint, part bigint, series array<bigint>, lo array<bigint>, hi array<bigint>, has array<int>, cells binary"
 #: Cell states in the result: the reading itself, a value from the factorisation, a hole without support, and a column
 #: that the series does not have.
 OBSERVED, FILLED, MARKED, ABSENT = 0, 1, 2, 3
-ROUNDS, RANK, RIDGE = 8, 2, 0.01
+#: RIDGE: how many times the variance left by the fit its factors are drawn to zero.
+ROUNDS, RANK, RIDGE = 8, 2, 10.0
 GRID = "series_id bigint, slot bigint, empty boolean, " + ", ".join(f"{c} double, {c}_state tinyint" for c in DATA)
 
 
@@ -70,9 +71,13 @@ def _first_sums(z: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _first_courses(sums: np.ndarray) -> np.ndarray:
-    """The first course starts at the mean over sources, further ones at noise."""
-    y = np.random.default_rng(7).normal(0, 0.1, (len(sums), RANK))
+    """times x (RANK + 1): the first course starts at the mean over sources, the second at a line, further ones at noise;
+    the last column is the ridge."""
+    y = np.random.default_rng(7).normal(0, 0.1, (len(sums), RANK + 1))
     y[:, 0] = sums[:, 0] / np.maximum(sums[:, 1], 1)
+    if RANK > 1:
+        y[:, 1] = np.linspace(-1, 1, len(sums))
+    y[:, RANK] = RIDGE
     return y
 
 
@@ -80,29 +85,36 @@ def _pairs(f: np.ndarray) -> np.ndarray:
     return (f[:, :, None] * f[:, None, :]).reshape(len(f), -1)
 
 
-def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _solved(a: np.ndarray, b: np.ndarray, ridge: float) -> np.ndarray:
     k = b.shape[1]
-    return np.linalg.solve(a.reshape(-1, k, k) + RIDGE * np.eye(k), b[:, :, None])[:, :, 0]
+    return np.linalg.solve(a.reshape(-1, k, k) + ridge * np.eye(k), b[:, :, None])[:, :, 0]
+
+
+def _with_offset(y: np.ndarray) -> np.ndarray:
+    return np.column_stack([y[:, :RANK], np.ones(len(y))])
 
 
 def _sources(z: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The loadings and the offset of each source, given the courses."""
-    f = np.column_stack([y, np.ones(len(y))])
-    return _solved(m @ _pairs(f), z @ f)
+    f = _with_offset(y)
+    return _solved(m @ _pairs(f), z @ f, y[0, RANK])
 
 
-def _time_sums(z: np.ndarray, m: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """times x (RANK² + RANK): the normal equations of the courses."""
+def _time_sums(z: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """times x (RANK² + RANK + 2): the normal equations of the courses; squares left by the present ones, and readings."""
     load = x[:, :RANK]
-    return np.column_stack([m.T @ _pairs(load), (z - m * x[:, RANK:]).T @ load])
+    left = m * (z - x @ _with_offset(y).T)
+    return np.column_stack([m.T @ _pairs(load), (z - m * x[:, RANK:]).T @ load, (left**2).sum(axis=0), m.sum(axis=0)])
 
 
 def _courses(sums: np.ndarray) -> np.ndarray:
-    return _solved(sums[:, : RANK * RANK], sums[:, RANK * RANK :])
+    ridge = max(RIDGE * sums[:, -2].sum() / max(sums[:, -1].sum(), 1.0), 0.01)
+    y = _solved(sums[:, : RANK * RANK], sums[:, RANK * RANK : -2], ridge)
+    return np.column_stack([y, np.full(len(y), ridge)])
 
 
 def _model(mid: np.ndarray, spread: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return mid[:, None] + spread[:, None] * (x @ np.column_stack([y, np.ones(len(y))]).T)
+    return mid[:, None] + spread[:, None] * (x @ _with_offset(y).T)
 
 
 def als(values: np.ndarray) -> np.ndarray:
@@ -111,7 +123,7 @@ def als(values: np.ndarray) -> np.ndarray:
     z, m, mid, spread = _scaled(values)
     y = _first_courses(_first_sums(z, m))
     for _ in range(ROUNDS - 1):
-        y = _courses(_time_sums(z, m, _sources(z, m, y)))
+        y = _courses(_time_sums(z, m, _sources(z, m, y), y))
     return _model(mid, spread, _sources(z, m, y), y)
 
 
@@ -232,9 +244,9 @@ def _fill_split(tiles: DataFrame, window: int, others: int, own: int) -> DataFra
 
     def round_sums(box: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = []
-        for v, c in zip(box, y.reshape(*shape, RANK)):
+        for v, c in zip(box, y.reshape(*shape, RANK + 1)):
             z, m, _, _ = _scaled(v)
-            out.append(_time_sums(z, m, _sources(z, m, c)))
+            out.append(_time_sums(z, m, _sources(z, m, c), c))
         return np.stack(out)
 
     for _ in range(ROUNDS - 1):
@@ -244,7 +256,7 @@ def _fill_split(tiles: DataFrame, window: int, others: int, own: int) -> DataFra
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for r in pdf.itertuples():
-                y, n = np.asarray(r.state).reshape(*shape, RANK), np.asarray(r.sums).reshape(*shape, 2)[:, :, 1]
+                y, n = np.asarray(r.state).reshape(*shape, RANK + 1), np.asarray(r.sums).reshape(*shape, 2)[:, :, 1]
 
                 def fitted(j: int, values: np.ndarray, y=y, n=n):
                     z, m, mid, spread = _scaled(values)
