@@ -299,6 +299,46 @@ def test_euler_pole_and_field(spark):
     assert got[1]["rotation"] == pytest.approx(abs(f["rotation"]), rel=0.05) and got[2]["ve"] is None
 
 
+def test_published_plates(spark):
+    """Mean motion, rotation, pole and the strain at one field point of the published two-plate example."""
+    rng = np.random.default_rng(0)
+    at = rng.uniform(low=[-121, 33], high=[-116, 37], size=(100, 2))
+    west = at[:, 0] < -119
+    v = rng.normal(scale=1e-3, size=(100, 2))
+    v[west] += [-0.055, 0.045]
+    off = at - [-117.1, 35.4]
+    d = np.hypot(*off.T)[:, None]
+    v += off / d / d**2 / 70
+    var = rng.uniform(low=9e-3, high=11e-3, size=(100, 2)) ** 2
+    cov = rng.normal(scale=1e-6, size=100)
+    df = spark.createDataFrame(pd.DataFrame({"station": [f"S{k}" for k in range(100)], "lon": at[:, 0], "lat": at[:, 1], "ve": v[:, 0], "vn": v[:, 1], "ve_var": var[:, 0], "vn_var": var[:, 1], "ve_vn_cov": cov, "west": west}))
+    f = fields.homogeneous_field(df, origin=(-120.5, 35.0))
+    assert np.allclose(f["velocity"] * 1e3, [-58.92, 41.94], atol=0.005) and abs(f["rotation"]) * 1e6 == pytest.approx(0.0851, abs=5e-5)
+    pole, _ = geodesy.euler_pole(*fields.estimate_euler_pole(df.filter("west")), principal=True)
+    assert np.allclose(np.degrees(pole) * [1, 1, 1e6], [6.7, -39.3, 0.6], atol=0.05)
+    x, y = np.meshgrid(np.linspace(-121, -116, 50), np.linspace(33, 37, 50)[::-1])
+    pts = spark.createDataFrame([(k, float(x.ravel()[k]), float(y.ravel()[k])) for k in range(1200, 1300)], "point_id bigint, lon double, lat double")
+    got = fields.strain_field(df, pts, 2.0, "quadratic", "voronoi", 1e6).filter("point_id = 1275").first()
+    for name, want in (("ve", -1.6802e-02), ("dilatation", 2.3860e-07), ("strain", 2.4474e-07), ("shear", 1.4304e-07), ("rotation", 7.8567e-08)):
+        assert got[name] == pytest.approx(want, rel=1e-4), name
+    near = fields.predict_homogeneous(df, f).toPandas().set_index("station")
+    assert abs(near.ve.mean() - v[:, 0].mean()) < 0.01
+    turn, _ = fields.estimate_euler_pole(df.filter("west"))
+    fit = fields.predict_rotation(df.filter("west"), turn).toPandas().set_index("station")
+    assert np.abs(fit.ve - pd.Series(v[:, 0], [f"S{k}" for k in range(100)])[fit.index]).median() < 0.01
+    for coverage, decay in (("azimuth", "gaussian"), ("none", "quadratic")):
+        assert fields.strain_field(df, pts, 2.0, decay, coverage, 1e6).filter("ve is not null").count() == 100
+
+
+def test_voronoi_areas():
+    x, y = np.meshgrid(np.arange(6.0), np.arange(6.0))
+    w = fields.voronoi_weights(np.column_stack([x.ravel(), y.ravel()]))
+    inner = w.reshape(6, 6)[1:-1, 1:-1]
+    assert np.allclose(inner, inner[0, 0]) and w.mean() == pytest.approx(1)
+    assert fields._cell_area(np.zeros(2), np.array([[2.0, 0], [0, 2], [-2, 0], [0, -4], [9, 9]]), 100.0) == (pytest.approx(6.0), True)
+    assert fields._cell_area(np.zeros(2), np.array([[2.0, 0]]), 100.0)[1] is False
+
+
 def test_utm():
     """On the central meridian northing is the meridian arc; elsewhere the projection is conformal."""
     lat = np.linspace(0, np.radians(48.858222), 200_001)

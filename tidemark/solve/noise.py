@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame
 
 
 def powerlaw(size: int, exponent: float, rng: np.random.Generator) -> np.ndarray:
-    """Random Fourier amplitudes falling as f^(-exponent/2) (Timmer and König 1995), back in time, scaled to unit
-    expected deviation. The zero frequency counts as 1/size."""
+    """A series whose expected spectrum falls as f^-exponent, with unit expected deviation about its mean.
+
+    After Timmer and König (1995): every Fourier coefficient of bin k gets a normal real and a normal imaginary part of
+    deviation k^(-exponent/2); bin 0, where the law has no value, takes that of bin 1. Bins without a mirror image (0 and,
+    for even sizes, size/2) are real. By Parseval's identity bin k adds mirrors x parts x k^-exponent / size² to the
+    expected variance, where both numbers are 2 with a mirror image and 1 without."""
     if size < 2:
         return rng.normal(size=size)
-    fall = np.append(1 / size, np.fft.rfftfreq(size)[1:]) ** (-exponent / 2)
-    spectrum = fall * rng.standard_normal((2, len(fall)))  # cosines, then sines
-    ends = [0] if size % 2 else [0, -1]
-    spectrum[1, ends] = 0  # a real series has no sines there
-    power = fall[1:] ** 2
-    power[-1] *= ((1 + size % 2) / 2) ** 2
-    return np.fft.irfft(spectrum[0] + 1j * spectrum[1], n=size) * size / np.sqrt(4 * power.sum())
+    bins = np.arange(size // 2 + 1)
+    mirrored = (bins > 0) & (2 * bins != size)
+    deviation = np.maximum(bins, 1.0) ** (-exponent / 2)
+    variance = (np.where(mirrored, 4, 1) * deviation**2)[1:].sum() / size**2
+    real, imaginary = rng.normal(size=(2, len(bins)))
+    return np.fft.irfft(deviation * (real + 1j * mirrored * imaginary), size) / np.sqrt(variance)
 
 
 def noise(stations: DataFrame, size: int, exponent: float, seed: int = 0) -> DataFrame:
