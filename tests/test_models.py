@@ -272,6 +272,41 @@ def test_common_modes(spark):
         assert spatial_.count() == 16
 
 
+@pytest.mark.parametrize("method", ["pca", "ica"])
+def test_many_stations_give_the_same_modes(spark, method, monkeypatch):
+    rng = np.random.default_rng(4)
+    t = pd.date_range("2000-01-01", periods=60)
+    x = rng.normal(size=(20, 2)) @ np.stack([np.sign(np.sin(np.arange(60) / 3)), rng.uniform(-2, 2, 60)]) + rng.normal(size=(20, 60)) * 0.05
+    x[rng.random(x.shape) < 0.1] = np.nan
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"station": f"S{k:02}", "t": t, "x": x[k]}) for k in range(20)])).withColumn("t", F.col("t").cast("timestamp_ntz"))
+    got = []
+    for limit in (512, 0):
+        monkeypatch.setattr(decompose, "GRAM_STATIONS", limit)
+        model, loading, temporal = decompose.common_modes(df, "x", 2, method)
+        got.append([model.toPandas().sort_values(["station", "t"]).value.to_numpy(), loading.toPandas().sort_values(["station", "comp"]).loading.to_numpy(), temporal.toPandas().sort_values(["t", "comp"]).value.to_numpy()])
+    for a, b in zip(*got):
+        assert np.allclose(a, b, atol=1e-5)
+    z = np.where(np.isnan(x), 0, x - np.nanmean(x, axis=1, keepdims=True))
+    u, sv, vt = np.linalg.svd(z, full_matrices=False)
+    assert np.allclose(got[0][0], ((u[:, :2] * sv[:2]) @ vt[:2])[~np.isnan(x)], atol=1e-8)
+
+
+def test_modes_with_lines_and_missing_readings(spark):
+    t = pd.date_range("2000-01-01", periods=120)
+    k = np.arange(120)
+    x = np.array([a * k + b * np.sin(k / 5) for a, b in ((0.1, 1), (-0.2, 2), (0.3, -1), (0, 0.5))])
+    x[1, 40:50] = np.nan
+    x[2, :5] = np.nan
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"station": f"S{i}", "t": t, "x": x[i]}) for i in range(4)])).withColumn("t", F.col("t").cast("timestamp_ntz"))
+    fit = decompose.common_modes(df, "x", 1, detrend=True)[0].toPandas().pivot(index="station", columns="t", values="value").to_numpy()
+    assert np.nanmax(np.abs(fit - x)) < 0.6 and np.isnan(fit[1, 40:50]).all()
+    full = decompose.common_modes(df, "x", 1, detrend=True, impute=True)[0].toPandas().pivot(index="station", columns="t", values="value").to_numpy()
+    seen = ~np.isnan(x)
+    assert np.allclose(full[seen], x[seen]) and np.isnan(full[2, :5]).all()
+    assert np.abs(full[1, 40:50] - (-0.2 * k + 2 * np.sin(k / 5))[40:50]).max() < 1.5
+    assert decompose.common_modes(df.limit(0), "x", 2)[0].count() == 0
+
+
 def plates(spark):
     """100 stations, the west one turning: the published recipe."""
     rng = np.random.default_rng(0)
