@@ -13,7 +13,7 @@ from tidemark.functions import geodesy
 from tidemark.operators import products
 from tidemark.operators.series import SeriesSpec, block_permutation, cov_index_map
 from tidemark.solve import api, decompose, dense, fields, midas, noise, spatial
-from tidemark.solve.models import ModelSpec, clamped_bspline_basis, columns, design, design_all, from_arch, to_arch
+from tidemark.solve.models import ModelSpec, center_times, clamped_bspline_basis, columns, design, design_all, exponent_index, from_arch, to_arch, transient_periods
 from tidemark.sources import netjson
 
 US = 86_400_000_000
@@ -30,6 +30,8 @@ SPECS = [
     ModelSpec("exp", "Exponential", {"tau": 30.0}, "2000-08-01", t_end="2001-01-01"),
     ModelSpec("atan", "Arctangent", {"tau": 20.0}, "2001-01-01"),
     ModelSpec("tanh", "HyperbolicTangent", {"tau": 20.0}, "2001-01-01"),
+    ModelSpec("mod", "AmpPhModulatedSinusoid", {"period": 100.0, "degree": 2, "num_bases": 6}, t_start="2000-02-01", t_end="2001-09-01"),
+    ModelSpec("mod3", "AmpPhModulatedSinusoid", {"period": 365.25, "degree": 3, "num_bases": 4}, t_start="2000-02-01", t_end="2001-09-01"),
 ]
 
 
@@ -105,6 +107,23 @@ def test_bounded():
     assert (m * sign >= 0).all() and np.allclose(grad[(m != 0) | (sign == 0)], 0, atol=1e-8) and (grad * sign <= 1e-8).all()
 
 
+@given(st.integers(0, 10_000))
+@settings(max_examples=60, deadline=None)
+def test_lasso_with_signs(seed):
+    rng = np.random.default_rng(seed)
+    g = rng.normal(size=(60, 12)) @ rng.normal(size=(12, 12))
+    y = rng.normal(size=60) * 5
+    q, b = g.T @ g, g.T @ y
+    lam = np.where(np.arange(12) < 4, 0, rng.uniform(0.5, 40, 12))
+    sign = rng.integers(-1, 2, 12)
+    m, _ = dense.feature_sign(q, b, lam, sign=sign)
+    assert (m * sign >= 0).all()
+    grad, tol = 2 * (b - q @ m), 2e-5 * max(1, np.abs(b).max())
+    on = m != 0
+    assert np.allclose(grad[on], (lam * np.sign(m))[on], atol=tol)
+    assert (np.where(sign != 0, grad * sign, np.abs(grad))[~on] <= lam[~on] + tol).all()
+
+
 def test_published_single_station(spark):
     """Residual deviation 0.009065 of the simple one-station series."""
     t = pd.date_range("2000-01-01", "2000-12-31")
@@ -192,6 +211,56 @@ def test_fits_equal_direct_least_squares(spark):
     assert np.allclose(value, par["S5"], atol=0.2)
 
 
+def test_covariances_of_parameters_and_fits(spark):
+    obs, pdf, specs, _ = network(spark, 3, 300)
+    var, cov = ["e_var", "n_var"], ["c"]
+    one = api.normal_sums(obs, specs, ["e", "n"], var)
+    both = api.normal_sums(obs, specs, ["e", "n"], var, cov)
+    each, joint = api.solve(one, specs, ["e", "n"], covariance=True), api.solve(both, specs, ["e", "n"], joint=True, covariance=True)
+    v1 = api.evaluate_variance(obs, each, specs, ["e", "n"]).toPandas().set_index(["station", "t"]).sort_index()
+    v2 = api.evaluate_variance(obs, joint, specs, ["e", "n"], rows_at_once=70).toPandas().set_index(["station", "t"]).sort_index()
+    block = api.covariance_block(joint, specs, ["e", "n"], "p", 1)
+    params = api.solve(both, specs, ["e", "n"], joint=True)
+    two = api.two_components(params, block, "p", 1, "e", "n").toPandas().set_index("station")
+    for s, p in pdf.groupby("station"):
+        g = design_all(specs, p.t.to_numpy("datetime64[us]").astype(np.int64))
+        ok = p.e.notna().to_numpy()
+        want = np.linalg.inv((g[ok].T / p.e_var.to_numpy()[ok]) @ g[ok])
+        assert np.allclose(v1.loc[s].var_e, ((g @ want) * g).sum(axis=1)) and v1.loc[s].cov_e_n.isna().all()
+        q, ok = np.zeros((8, 8)), p[["e", "n"]].notna().all(axis=1).to_numpy()
+        for gi, r in zip(g[ok], p[ok].itertuples()):
+            big = np.kron(gi[:, None], np.eye(2)).T
+            q += big.T @ np.linalg.inv([[r.e_var, r.c], [r.c, r.n_var]]) @ big
+        full = np.linalg.inv(q)
+        at = np.array([np.kron(gi[:, None], np.eye(2)).T @ full @ np.kron(gi[:, None], np.eye(2)) for gi in g])
+        for name, i, j in (("var_e", 0, 0), ("var_n", 1, 1), ("cov_e_n", 0, 1)):
+            assert np.allclose(v2.loc[s][name], at[:, i, j])
+        assert two.ve_vn_cov[s] == pytest.approx(full[2, 3]) and two.vn_var[s] == pytest.approx(full[3, 3])
+    parts = api.evaluate(obs, params, specs, ["e", "n"], by_model=True)
+    assert np.allclose(api.sum_fits(parts).toPandas().sort_values(["station", "t"]).fit_e, api.evaluate(obs, params, specs, ["e", "n"]).toPandas().sort_values(["station", "t"]).fit_e)
+    assert api.stacked(params, "p").filter("stackable and size(values) = 2").count() == 6
+
+
+def test_frozen_parameters_stay_out_of_the_fit(spark):
+    obs, pdf, specs, par = network(spark, 2, 300)
+    sums = api.normal_sums(obs, specs, ["e", "n"])
+    params = api.solve(sums, specs, ["e", "n"])
+    keep = api.frozen(params, 1e6).filter("model = 'a'").unionByName(api.frozen(params).filter("model = 'p'"))
+    again = api.solve(sums, specs, ["e", "n"], active=keep).toPandas()
+    assert (again[again.model == "a"][["value", "var"]] == 0).all(axis=None)
+    alone = api.fit(obs, specs[:1], ["e", "n"]).toPandas()
+    key = ["station", "comp", "par_ix"]
+    assert np.allclose(again[again.model == "p"].sort_values(key).value, alone.sort_values(key).value)
+
+
+def test_transient_periods_and_powers():
+    spec = ModelSpec("s", "BSpline", {"degree": 2, "scale": 10.0, "num_splines": 2, "spacing": 5.0}, "2000-01-01")
+    assert center_times(spec) == [DAY0, DAY0 + 5 * US] and transient_periods(spec)[1] == (DAY0 - 25 * US, DAY0 + 35 * US)
+    assert exponent_index(ModelSpec("p", "Polynomial", {"order": 3, "min_exponent": 1}), 2) == 1
+    with pytest.raises(ValueError):
+        exponent_index(ModelSpec("p", "Polynomial", {"order": 1}), 2)
+
+
 def test_unobservable_parameters(spark):
     obs, _, specs, _ = network(spark, 1, 50)
     late = ModelSpec("late", "Step", {"steptimes": ["2030-01-01"]})

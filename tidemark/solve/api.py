@@ -123,11 +123,33 @@ def normal_sums(obs: DataFrame, specs: Sequence[ModelSpec], data: Sequence[str],
     return parts.repartition("station", "comp").sortWithinPartitions("station", "comp", "i").mapInPandas(total, SUMS)
 
 
-def solve(sums: DataFrame, specs: Sequence[ModelSpec], data: Sequence[str], solver: str = "plain", penalty: float = 0.0, joint: bool = False, weights: DataFrame | None = None, formal_covariance: bool = True, signs: dict[str, int] | None = None, cov_zero: float = 1e-6, **reweighting) -> DataFrame:
+def _slot(specs: Sequence[ModelSpec], data: Sequence[str], joint: bool):
+    """Place of a parameter row (model, par_ix, comp) in the vector of its group."""
+    place, at = {}, 0
+    for s in specs:
+        place[s.name] = at
+        at += s.num_parameters
+    first = F.element_at(F.create_map(*[x for n, v in place.items() for x in (F.lit(n), F.lit(v))]), F.col("model")) + F.col("par_ix")
+    return first * len(data) + F.array_position(F.array(*[F.lit(d) for d in data]), F.col("comp")).cast("int") - 1 if joint else first
+
+
+def _with_vectors(sums: DataFrame, rows: DataFrame, value: str, i: int, size: int, slot, joint: bool) -> DataFrame:
+    """The sums with one more row `i` a group: `value` of `rows` by place, NaN where it has none."""
+    packed = rows.select("station", F.lit("*").alias("comp") if joint else "comp", slot.cast("int").alias("k"), F.col(value).cast("double").alias("x"))
+    packed = packed.groupBy("station", "comp").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("w"))
+    return sums.unionByName(packed.select("station", "comp", F.lit(i).alias("i"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.element_at("w", k), F.lit(float("nan")))).alias("v")))
+
+
+COVARIANCE = "station string, comp string, size int, cov array<double>"
+
+
+def solve(sums: DataFrame, specs: Sequence[ModelSpec], data: Sequence[str], solver: str = "plain", penalty: float = 0.0, joint: bool = False, weights: DataFrame | None = None, formal_covariance: bool = True, signs: dict[str, int] | None = None, cov_zero: float = 1e-6, active: DataFrame | None = None, covariance: bool = False, **reweighting) -> DataFrame:
     """PARAMS rows from normal sums. solver: 'plain', 'ridge' or 'lasso' (with iters, kind, eps, scale, coupled for
     reweighting). A column without non-zeros, or of a regularised model with one or a constant value, is not observable:
     value 0, no variance. `weights`: station, model, par_ix, comp, weight to start the lasso from. `signs`: model name
-    to +1 or -1 for parameters that may not have the other sign (plain and ridge)."""
+    to +1 or -1 for parameters that may not have the other sign. `active`: station, model, par_ix, active; a parameter
+    with active false is frozen: value 0, variance 0, left out of the fit. With `covariance`, COVARIANCE rows instead: the matrix of all
+    parameters of a group, row by row, 0 where a parameter is not in the fit."""
     c, p = len(data), sum(s.num_parameters for s in specs)
     owner = [(s.name, k, s.regularize) for s in specs for k in range(s.num_parameters)]
     inner1 = np.array([x for s in specs for x in s.internal_scales()])
@@ -136,8 +158,10 @@ def solve(sums: DataFrame, specs: Sequence[ModelSpec], data: Sequence[str], solv
     label = [(*o, comp) for o in owner for comp in data] if joint else None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w0 = pdf[pdf["i"] < 0]
+        extra = {i: np.stack(g["v"].to_numpy())[0] for i, g in pdf[pdf["i"] < 0].groupby("i")}
         pdf = pdf[pdf["i"] >= 0].sort_values("i")
+        if not len(pdf):  # weights of a group without readings
+            return pd.DataFrame(columns=[f.split()[0] for f in (COVARIANCE if covariance else PARAMS).split(", ")])
         station, comp = pdf["station"].iloc[0], pdf["comp"].iloc[0]
         a = np.stack(pdf["v"].to_numpy())
         q, b, count, top, low = a[:size], a[size], a[size + 1], a[size + 2], a[size + 3]
@@ -146,18 +170,18 @@ def solve(sums: DataFrame, specs: Sequence[ModelSpec], data: Sequence[str], solv
         inner = np.repeat(inner1, c) if joint else inner1
         sign = np.repeat(sign1, c) if joint else sign1
         ok = (count > 0) & (~reg | ((count > 1) & (top > low)))
+        frozen = extra[-2] == 0 if -2 in extra else np.zeros(size, bool)
         m, var, w, kkt = np.zeros(size), np.full(size, np.nan), np.full(size, np.nan), 0.0
-        k = np.flatnonzero(ok)
+        cov = np.zeros((size, size))
+        var[frozen] = 0.0
+        k = np.flatnonzero(ok & ~frozen)
         if len(k):
             qq, bb = q[np.ix_(k, k)], b[k]
             if solver == "ridge":
                 qq = qq + np.diag(np.where(reg[k], penalty, 0.0))
             if solver == "lasso":
-                init = None
-                if len(w0):
-                    init = np.stack(w0["v"].to_numpy())[0][k]
-                    init = np.where(np.isnan(init), penalty, init)
-                m[k], w[k], _, kkt = dense.lasso(qq, bb, reg[k], penalty, inner=inner[k], init=init, **reweighting)
+                init = np.where(np.isnan(extra[-1]), penalty, extra[-1])[k] if -1 in extra else None
+                m[k], w[k], _, kkt = dense.lasso(qq, bb, reg[k], penalty, inner=inner[k], init=init, sign=sign[k], **reweighting)
             elif sign[k].any():
                 m[k] = dense.bounded(qq, bb, sign[k])
             else:
@@ -165,22 +189,61 @@ def solve(sums: DataFrame, specs: Sequence[ModelSpec], data: Sequence[str], solv
             if formal_covariance:
                 used = k if solver != "lasso" else k[np.abs(m[k] * inner[k]) > cov_zero]
                 if len(used):
-                    var[used] = np.diag(dense.pinvh(q[np.ix_(used, used)] + (np.diag(np.where(reg[used], penalty, 0.0)) if solver == "ridge" else 0.0)))
+                    part = np.ix_(used, used)
+                    cov[part] = dense.pinvh(q[part] + (np.diag(np.where(reg[used], penalty, 0.0)) if solver == "ridge" else 0.0))
+                    var[used] = np.diag(cov)[used]
+        if covariance:
+            return pd.DataFrame({"station": [station], "comp": [comp], "size": [size], "cov": [cov.ravel()]})
         n = int(a[size + 4][0])
         return pd.DataFrame([(station, x[0], x[1], x[3], m[i], var[i], w[i], bool(ok[i]), bool(x[2]), n, kkt) for i, x in enumerate(names)], columns=[f.split()[0] for f in PARAMS.split(", ")])
 
-    rows = sums
+    rows, slot = sums, _slot(specs, data, joint)
     if weights is not None:
-        place = {}
-        at = 0
-        for s in specs:
-            place[s.name] = at
-            at += s.num_parameters
-        first = F.element_at(F.create_map(*[x for n, v in place.items() for x in (F.lit(n), F.lit(v))]), F.col("model")) + F.col("par_ix")
-        slot = first * c + F.array_position(F.array(*[F.lit(d) for d in data]), F.col("comp")).cast("int") - 1 if joint else first
-        packed = weights.select("station", F.lit("*").alias("comp") if joint else "comp", slot.cast("int").alias("k"), "weight").groupBy("station", "comp").agg(F.map_from_entries(F.collect_list(F.struct("k", "weight"))).alias("w"))
-        rows = sums.unionByName(packed.select("station", "comp", F.lit(-1).alias("i"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("w", i), F.lit(float("nan")))).alias("v")))
-    return rows.groupBy("station", "comp").applyInPandas(run, PARAMS)  # a matrix to a group
+        rows = _with_vectors(rows, weights, "weight", -1, size, slot, joint)
+    if active is not None:
+        every = active.select("station", "model", "par_ix", "active").distinct().withColumn("comp", F.explode(F.array(*[F.lit(x) for x in data])))
+        rows = _with_vectors(rows, every, "active", -2, size, slot, joint)
+    return rows.groupBy("station", "comp").applyInPandas(run, COVARIANCE if covariance else PARAMS)  # a matrix to a group
+
+
+def frozen(params: DataFrame, threshold: float = 1e-10) -> DataFrame:
+    """station, model, par_ix, active: a parameter is active if it exceeds the threshold in size in any component. For
+    `solve`; leaving it away unfreezes."""
+    return params.groupBy("station", "model", "par_ix").agg(F.coalesce(F.max(F.abs("value")) > threshold, F.lit(False)).alias("active"))
+
+
+def covariance_block(cov: DataFrame, specs: Sequence[ModelSpec], data: Sequence[str], model: str, par_ix: int) -> DataFrame:
+    """station, comp, other, value: the block of one parameter between the components of a joint covariance."""
+    at, low = {}, 0
+    for s in specs:
+        at[s.name], low = low, low + s.num_parameters
+    first = (at[model] + par_ix) * len(data)
+    cells = F.array(*[F.struct(F.lit(a).alias("comp"), F.lit(b).alias("other"), F.get("cov", F.col("size") * (first + i) + first + j).alias("value")) for i, a in enumerate(data) for j, b in enumerate(data)])
+    return cov.filter("comp = '*'").select("station", F.explode(cells).alias("x")).select("station", "x.*")
+
+
+def two_components(params: DataFrame, block: DataFrame, model: str, par_ix: int, first: str, second: str) -> DataFrame:
+    """station, value and variance of one parameter in two components, and their covariance (NULL without `block`)."""
+    one = params.filter((F.col("model") == model) & (F.col("par_ix") == par_ix))
+    pick = lambda comp, name: F.max(F.when(F.col("comp") == comp, F.col(name)))
+    wide = one.groupBy("station").agg(pick(first, "value").alias("ve"), pick(second, "value").alias("vn"), pick(first, "var").alias("ve_var"), pick(second, "var").alias("vn_var"))
+    cross = block.filter((F.col("comp") == first) & (F.col("other") == second)).select("station", F.col("value").alias("ve_vn_cov"))
+    return wide.join(cross, "station", "left")
+
+
+def stacked(params: DataFrame, model: str) -> DataFrame:
+    """station, comp, values (the parameters of a model in order) and stackable: whether all stations have equally many."""
+    rows = params.filter(F.col("model") == model).groupBy("station", "comp").agg(F.transform(F.array_sort(F.collect_list(F.struct("par_ix", "value"))), lambda x: x["value"]).alias("values"))
+    sizes = rows.agg((F.countDistinct(F.size("values")) == 1).alias("stackable"))
+    return rows.join(F.broadcast(sizes))  # one row
+
+
+def sum_fits(fits: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
+    """The fits of several models (rows with `model`, from evaluate by_model) added up by station and epoch; variances,
+    where there are any, add up too."""
+    d = fits if models is None else fits.filter(F.col("model").isin(list(models)))
+    cols = [c for c in fits.columns if c.startswith(("fit_", "var_"))]
+    return d.groupBy("station", "t").agg(*[F.sum(c).alias(c) for c in cols])
 
 
 def fit(obs: DataFrame, specs: Sequence[ModelSpec], data: Sequence[str], solver: str = "plain", var: Sequence[str] = (), cov: Sequence[str] = (), **kw) -> DataFrame:
@@ -223,6 +286,42 @@ def evaluate(obs: DataFrame, params: DataFrame, specs: Sequence[ModelSpec], data
     return rows.select("station", "t", F.explode(F.array(*parts)).alias("x")).select("station", "t", "x.*")
 
 
+def evaluate_variance(obs: DataFrame, cov: DataFrame, specs: Sequence[ModelSpec], data: Sequence[str], rows_at_once: int = 200_000) -> DataFrame:
+    """Formal covariance of the fit at the epochs of `obs`: station, t, var_<comp>, and with a joint `cov` also
+    cov_<comp>_<other>. A station's epochs are spread over as many groups as it has `rows_at_once`; stations without a
+    covariance are left out."""
+    joint = [(a, b) for i, a in enumerate(data) for b in data[i + 1 :]]
+    names = [f"var_{c}" for c in data] + [f"cov_{a}_{b}" for a, b in joint]
+    rows = laid(obs.select("station", "t"))
+    parts = rows.groupBy("station").agg(F.ceil(F.count("*") / rows_at_once).cast("int").alias("_n"))
+    kind = obs.schema["t"].dataType.simpleString()
+    held = cov.groupBy("station").agg(F.collect_list(F.struct("comp", "size", "cov")).alias("held"))
+    held = held.join(parts, "station").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    rows = rows.join(sized(parts), "station").withColumn("part", F.pmod(F.xxhash64("t"), F.col("_n")).cast("int")).drop("_n")
+
+    def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(np.nan, index=pdf.index, columns=names)
+        out.insert(0, "t", pdf["t"])
+        out.insert(0, "station", pdf["station"])
+        if not len(pdf) or not len(known):
+            return out.iloc[:0]
+        g = design_all(specs, pdf["_us"].to_numpy(np.int64))
+        c = len(data)
+        for x in known["held"].iloc[0]:
+            m = np.asarray(x["cov"], float).reshape(x["size"], x["size"])
+            if x["comp"] != "*":
+                out[f"var_{x['comp']}"] = ((g @ m) * g).sum(axis=1)
+                continue
+            for i, a in enumerate(data):
+                out[f"var_{a}"] = ((g @ m[i::c, i::c]) * g).sum(axis=1)
+                for j in range(i + 1, c):
+                    out[f"cov_{a}_{data[j]}"] = ((g @ m[i::c, j::c]) * g).sum(axis=1)
+        return out
+
+    got = rows.groupBy("station", "part").cogroup(held.groupBy("station", "part")).applyInPandas(run, f"station string, t {kind}, " + ", ".join(f"{n} double" for n in names))
+    return got.select("station", "t", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
+
+
 def residuals(obs: DataFrame, fits: DataFrame, data: Sequence[str]) -> DataFrame:
     """obs - fit at common epochs."""
     return obs.select("station", "t", *data).join(fits, ["station", "t"]).select("station", "t", *[(F.col(c) - F.col(f"fit_{c}")).alias(c) for c in data])

@@ -59,11 +59,12 @@ def bounded(q: np.ndarray, b: np.ndarray, sign: np.ndarray, rounds: int = 1000)
     return m * flip
 
 
-def feature_sign(q: np.ndarray, b: np.ndarray, lam: np.ndarray, start: np.ndarray | None = None, rounds: int = 5000) -> tuple[np.ndarray, float]:
+def feature_sign(q: np.ndarray, b: np.ndarray, lam: np.ndarray, start: np.ndarray | None = None, rounds: int = 5000, sign: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """min mᵀQm - 2bᵀm + Σ lam|m| by active sets of signs, and the largest violation of the optimality conditions.
-    Entries with lam = 0 are eliminated exactly first."""
+    Entries whose `sign` is not 0 may not have the other sign. Free entries with lam = 0 are eliminated exactly first."""
     n = len(b)
-    loose = lam <= 0
+    sign = np.zeros(n) if sign is None else np.asarray(sign, float)
+    loose = (lam <= 0) & (sign == 0)
     if loose.any():
         tight = ~loose
         m = np.zeros(n)
@@ -73,23 +74,25 @@ def feature_sign(q: np.ndarray, b: np.ndarray, lam: np.ndarray, start: np.ndarra
         cross = q[np.ix_(loose, tight)]
         sol = np.linalg.lstsq(ql, np.column_stack([cross, b[loose]]), rcond=None)[0]
         qq, bb = q[np.ix_(tight, tight)] - cross.T @ sol[:, :-1], b[tight] - cross.T @ sol[:, -1]
-        m[tight], kkt = feature_sign((qq + qq.T) / 2, bb, lam[tight], None if start is None else start[tight], rounds)
+        m[tight], kkt = feature_sign((qq + qq.T) / 2, bb, lam[tight], None if start is None else start[tight], rounds, sign[tight])
         m[loose] = sol[:, -1] - sol[:, :-1] @ m[tight]
         return m, kkt
-    half = lam / 2  # the objective has no one half
-    m = np.zeros(n) if start is None else start.copy()
+    half = np.maximum(lam, 0) / 2  # the objective has no one half
+    held = sign != 0
+    m = np.zeros(n) if start is None else np.where(held & (start * sign < 0), 0.0, start)
     theta = np.sign(m)
-    tol = 1e-9 * max(1.0, half.max(initial=0.0))
+    tol = 1e-9 * max(1.0, half.max(initial=0.0), 1e-3 * np.abs(b).max(initial=0.0) if held.any() else 0.0)
     cost = lambda v: v @ (q @ v) - 2 * b @ v + lam @ np.abs(v)
     fresh = True
     for _ in range(rounds):
         g = q @ m - b
         active = theta != 0
         if fresh or np.all(np.abs(g[active] + half[active] * theta[active]) <= tol):
-            over = np.where(~active, np.abs(g) - half, -np.inf)
+            gain = np.where(held, -g * sign, np.abs(g)) - half  # an entry that is held may leave zero one way only
+            over = np.where(~active, gain, -np.inf)
             j = int(over.argmax())
             if over[j] > tol:
-                theta[j] = -np.sign(g[j])
+                theta[j] = sign[j] if held[j] else -np.sign(g[j])
                 active = theta != 0
             elif not fresh:
                 break
@@ -108,11 +111,12 @@ def feature_sign(q: np.ndarray, b: np.ndarray, lam: np.ndarray, start: np.ndarra
         if np.all(np.sign(new) == theta[k]):
             m[k] = new
             continue
-        # try every point between old and new where a sign changes
+        # try every point between old and new where a sign changes, as far as no entry that is held does
         with np.errstate(all="ignore"):
             cuts = old / (old - new)
-        cuts = np.unique(np.append(cuts[(cuts > 0) & (cuts < 1)], 1.0))
-        best, at = np.inf, 1.0
+        stop = min(cuts[held[k] & (new * sign[k] < 0) & (cuts >= 0)], default=1.0)
+        cuts = np.unique(np.append(cuts[(cuts > 0) & (cuts < stop)], stop))
+        best, at = np.inf, stop
         for c in cuts:
             v = m.copy()
             v[k] = old + c * (new - old)
@@ -122,22 +126,24 @@ def feature_sign(q: np.ndarray, b: np.ndarray, lam: np.ndarray, start: np.ndarra
                 best, at = f, c
         m[k] = old + at * (new - old)
         m[np.abs(m) < 1e-14 * max(1.0, np.abs(m).max())] = 0
+        m[held & (m * sign < 0)] = 0
         theta = np.sign(m)
     g = 2 * (b - q @ m)
-    kkt = np.where(m != 0, np.abs(g - lam * np.sign(m)), np.maximum(np.abs(g) - lam, 0)).max(initial=0.0)
+    idle = np.maximum(np.where(held, g * sign, np.abs(g)) - lam, 0)
+    kkt = np.where(m != 0, np.abs(g - lam * np.sign(m)), idle).max(initial=0.0)
     return m, float(kkt)
 
 
-def lasso(q: np.ndarray, b: np.ndarray, reg: np.ndarray, penalty: float, iters: int = 1, kind: str = "inv", eps: float = 1e-4, scale: float = 1.0, inner: np.ndarray | None = None, init: np.ndarray | None = None, coupled: bool = True, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray, bool, float]:
+def lasso(q: np.ndarray, b: np.ndarray, reg: np.ndarray, penalty: float, iters: int = 1, kind: str = "inv", eps: float = 1e-4, scale: float = 1.0, inner: np.ndarray | None = None, init: np.ndarray | None = None, coupled: bool = True, tol: float = 1e-9, sign: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool, float]:
     """(parameters, weights after the last solve, converged, optimality violation). With iters > 1 the problem is solved
     again with weights from the parameter sizes; `coupled` lets the reweighting start from the penalty and then go on alone, else
-    weights multiply the penalty."""
+    weights multiply the penalty. `sign`: see feature_sign."""
     inner = np.ones(len(b)) if inner is None else inner
     w = np.where(reg, (penalty if coupled else 1.0), 0.0) if init is None else np.where(reg, init, 0.0)
     m, kkt, done = np.zeros(len(b)), 0.0, iters <= 1
     for i in range(max(iters, 1)):
         lam = w if coupled else w * penalty
-        new, kkt = feature_sign(q, b, lam)
+        new, kkt = feature_sign(q, b, lam, sign=sign)
         moved = np.linalg.norm(new - m)
         m = new
         w = np.zeros(len(b))

@@ -194,8 +194,30 @@ def design_all(specs: Sequence[ModelSpec], us: np.ndarray) -> np.ndarray:
     return np.concatenate([design(s, us) for s in specs], 1)
 
 
+def _clamped_columns(x: Column, degree: int, num: int) -> list[Column]:
+    """clamped_bspline_basis as expressions: on each piece between knots every basis is one polynomial, whose coefficients
+    follow from its values there."""
+    pieces = num - degree
+    edges = np.linspace(0, 1, pieces + 1)
+    at = np.linspace(0.05, 0.95, degree + 1)
+    powers = np.linalg.inv(np.vander(at, increasing=True))
+    out = []
+    for j in range(num):
+        c = None
+        for i in range(pieces):
+            value = clamped_bspline_basis(edges[i] + at * (edges[i + 1] - edges[i]), degree, num)[:, j]
+            u = (x - float(edges[i])) * pieces
+            poly = F.lit(0.0)
+            for k in reversed(powers @ value):
+                poly = poly * u + float(k)
+            inside = (x >= float(edges[i])) & ((x < float(edges[i + 1])) if i < pieces - 1 else (x <= 1.0))
+            c = F.when(inside, poly) if c is None else c.when(inside, poly)
+        out.append(c.otherwise(0.0))
+    return out
+
+
 def columns(spec: ModelSpec, us: str = "_us") -> list[Column]:
-    """The design columns as Spark expressions of the integer column `us`; not for AmpPhModulatedSinusoid."""
+    """The design columns as Spark expressions of the integer column `us`."""
     raw = F.col(us)
     a = parse_time(spec.t_start) if spec.t_start else None
     b = parse_time(spec.t_end) if spec.t_end else None
@@ -222,7 +244,9 @@ def columns(spec: ModelSpec, us: str = "_us") -> list[Column]:
     elif spec.type == "HyperbolicTangent":
         out = [F.tanh(tau / kw["tau"]) / 2 + 0.5]
     elif spec.type == "AmpPhModulatedSinusoid":
-        raise NotImplementedError("only in NumPy")
+        h = _clamped_columns((at - F.lit(a)).cast("double") / float(b - a), kw.get("degree", 2), kw["num_bases"])
+        w = tau * (2 * math.pi / kw["period"])
+        out = [x * F.cos(w) for x in h] + [x * F.sin(w) for x in h]
     else:
         out = []
         for kind, p, scale, centre, inner in spec.splines():
@@ -241,6 +265,31 @@ def columns(spec: ModelSpec, us: str = "_us") -> list[Column]:
     return out
 
 
+def exponent_index(spec: ModelSpec, exponent: int) -> int:
+    """par_ix of a power of a polynomial; an error if it has none."""
+    low = spec.kw.get("min_exponent", 0)
+    if spec.type != "Polynomial" or not low <= exponent <= spec.kw["order"]:
+        raise ValueError(f"{spec.name} has no power {exponent}")
+    return exponent - low
+
+
+def center_times(spec: ModelSpec) -> list[int]:
+    """Centre of each spline in microseconds."""
+    return [parse_time(spec.t_reference) + round(x[3] * UNIT_MICROS[spec.time_unit]) for x in spec.splines()]
+
+
+def transient_periods(spec: ModelSpec) -> list[tuple[int, int]]:
+    """For each spline the first and last microsecond at which it counts as transient: degree + 1 times its scale to
+    either side of its centre."""
+    unit = UNIT_MICROS[spec.time_unit]
+    return [(c - round(scale * (p + 1) * unit), c + round(scale * (p + 1) * unit)) for c, (_, p, scale, _, _) in zip(center_times(spec), spec.splines())]
+
+
+def transient_mask(spec: ModelSpec, us: str = "_us") -> list[Column]:
+    """One boolean column a spline: whether the time is within its transient period."""
+    return [F.col(us).between(a, b) for a, b in transient_periods(spec)]
+
+
 def to_arch(specs: Sequence[ModelSpec]) -> dict:
     """{name: {type, kw_args}}, the flat form of the network file."""
     skip = {"name", "type", "kw"}
