@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.series import in_blocks, only_core
 
 
@@ -17,10 +18,17 @@ def _steps(df: DataFrame) -> DataFrame:
 def reliability(df: DataFrame) -> DataFrame:
     """Per station: n_obs, length_days, median_step_days and reliability = n_obs / (round(length / median step) + 1),
     rounded half to even. A station with one epoch has NULL."""
-    s = _steps(df).groupBy("station").agg(F.count("*").alias("n_obs"), F.sum("gap_days").alias("length_days"), F.percentile("gap_days", 0.5).alias("median_step_days"))
+    steps = _steps(df)
+    median = exact_quantiles(steps, "station", "gap_days", [0.5]).select("station", F.get("q", F.lit(0)).alias("median_step_days"))
+    s = steps.groupBy("station").agg(F.count("*").alias("n_obs"), F.sum("gap_days").alias("length_days")).join(median, "station")
     return s.withColumn("reliability", F.try_divide(F.col("n_obs"), F.bround(F.try_divide(F.col("length_days"), F.col("median_step_days")), 0) + 1))
 
 
+def quality_gate(df: DataFrame, min_reliability: float = 0.5, min_days: float = 365.0) -> DataFrame:
+    """The stations whose reliability and length exceed the bounds, with the figures of `reliability`."""
+    return reliability(df).filter((F.col("reliability") > min_reliability) & (F.col("length_days") > min_days))
+
+
 def availability_metrics(df: DataFrame, sampling_days: float = 1.0) -> DataFrame:
     """Per station: number of records, first and last day, length in days and number x sampling / length."""
     length = F.datediff("recency", "age") + F.lit(sampling_days)

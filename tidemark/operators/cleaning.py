@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.series import in_blocks, only_core
 
 
@@ -24,7 +25,7 @@ def rolling_median(df: DataFrame, columns: Sequence[str], kernel: int, shrink: b
     if kernel % 2 == 0 or kernel < 1:
         raise ValueError("kernel must be odd")
     half = kernel // 2
-    blocks, w = in_blocks(df, key)
+    blocks, w = in_blocks(df, key, reach=half)
     span = w.rowsBetween(-half, half)
     if shrink:
         left = F.least(F.lit(half), F.row_number().over(w) - 1)
@@ -41,18 +42,13 @@ def rolling_median(df: DataFrame, columns: Sequence[str], kernel: int, shrink: b
     return only_core(out.drop("_rn", "_h", *[f"_w_{c}" for c in columns]))
 
 
-def _quantile(c: str, p: list[float], exact: bool) -> Column:
-    return F.percentile(c, p) if exact else F.array(*[F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(c, 2000), F.lit(x)) for x in p])
-
-
-def clean(df: DataFrame, reference: DataFrame, columns: Sequence[str], std_outlier: float | None = None, iqr_outlier: float | None = None, std_bad: float | None = None, std_thresh: float | None = None, min_obs: int = 100, min_clean_obs: int = 100, exact: bool = True) -> DataFrame:
+def clean(df: DataFrame, reference: DataFrame, columns: Sequence[str], std_outlier: float | None = None, iqr_outlier: float | None = None, std_bad: float | None = None, std_thresh: float | None = None, min_obs: int = 100, min_clean_obs: int = 100) -> DataFrame:
     """Outliers of df - reference to NULL, component by component.
 
     In this order: fewer than min_obs values: the component is all NULL; values with a variance of std_bad² or more are
     NULL (columns `<c>_var`); a residual is an outlier beyond std_outlier population standard deviations and, if both
     are given, also outside the quartiles by iqr_outlier interquartile ranges; fewer than min_clean_obs values left, or
-    a residual deviation above std_thresh: all NULL. `exact=False` takes quartiles from mergeable sketches.
-    Uncertainties are dropped; epochs missing from `reference` are NULL.
+    a residual deviation above std_thresh: all NULL. Quartiles are exact (see quantiles.py). Uncertainties are dropped; epochs missing from `reference` are NULL.
     """
     ref = reference.select("station", "t", *[F.col(c).alias(f"_ref_{c}") for c in columns])
     d = df.join(ref, ["station", "t"], "left")
@@ -63,8 +59,10 @@ def clean(df: DataFrame, reference: DataFrame, columns: Sequence[str], std_outli
     first = d.groupBy("station").agg(
         *[F.count(c).alias(f"_n_{c}") for c in columns],
         *[F.stddev_pop(f"_r_{c}").alias(f"_sd_{c}") for c in columns],
-        *([_quantile(f"_r_{c}", [0.25, 0.75], exact).alias(f"_q_{c}") for c in columns] if iqr_outlier is not None else []),
     )
+    quartiles = {c: exact_quantiles(d, "station", f"_r_{c}", [0.25, 0.75]).withColumnRenamed("q", f"_q_{c}") for c in columns} if iqr_outlier is not None else {}
+    for q in quartiles.values():
+        first = first.join(q, "station")
     d = d.join(first, "station")
     for c in columns:
         r, out = F.col(f"_r_{c}"), F.lit(std_outlier is not None or iqr_outlier is not None)
@@ -105,7 +103,7 @@ def max_rolling_deviation(df: DataFrame, column: str, kernel: int) -> DataFrame:
     """Per station: the trailing mean over `kernel` epochs (at least half of them with a value) of the demeaned series,
     signed, where it is farthest from zero."""
     mean = df.groupBy("station").agg(F.avg(column).alias("_m"))
-    blocks, w = in_blocks(df.join(mean, "station"))
+    blocks, w = in_blocks(df.join(mean, "station"), reach=kernel)
     span = w.rowsBetween(-(kernel - 1), 0)
     x = F.col(column) - F.col("_m")
     rolled = blocks.withColumn("_roll", F.when(F.count(x).over(span) >= max(kernel // 2, 1), F.avg(x).over(span)))

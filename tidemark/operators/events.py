@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.timeunits import elapsed
-from tidemark.operators.series import in_blocks, only_core
+from tidemark.operators.availability import availability_intervals
+from tidemark.operators.network import EARTH_KM, haversine_km
+from tidemark.operators.series import in_blocks
 
 
 def next_epoch(events: DataFrame, obs: DataFrame) -> DataFrame:
@@ -87,10 +90,34 @@ def unknown(found: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def sessions(times: DataFrame, gap_days: float) -> DataFrame:
-    """Ranges of network-wide times, split where neighbouring distinct times are more than gap_days apart: start, end,
-    n. The last range counts. Days are aggregated first, so the ordering works on at most one row a distinct time."""
-    w = Window.orderBy("time")
-    d = times.select("time").dropna().distinct()
-    new = F.coalesce(elapsed("time", "_last", "D") > gap_days, F.lit(True)).cast("int")
-    d = d.withColumn("_last", F.lag("time").over(w)).withColumn("_new", new)
-    return d.withColumn("_g", F.sum("_new").over(w)).groupBy("_g").agg(F.min("time").alias("start_t"), F.max("time").alias("end_t"), F.count("*").alias("n")).drop("_g")
+    """Ranges of network-wide times, split where neighbouring distinct times are more than gap_days apart: start_t, end_t,
+    n. The last range counts. The times are worked on in blocks like those of one station."""
+    d = times.select(F.lit("").alias("station"), F.col("time").alias("t")).dropna()
+    return availability_intervals(d, gap_days).select("start_t", "end_t", "n")
+
+
+def events_for_stations(events: DataFrame, targets: DataFrame, circle_km: float, big_mw: float = 7.5, pad_days: float = 0.0, cell: float = 2.0) -> DataFrame:
+    """The events that may explain a station's series: eq_id, station, km where the event falls into the target's window
+    (targets: station, lat, lon, t_start, t_end, widened by pad_days) and is within circle_km or larger than big_mw. Near
+    pairs meet in latitude-longitude cells, large events and targets in the months of the window. Rows with NULL in any of
+    the columns needed are left out, repeated events and targets count once."""
+    ev = events.select("eq_id", F.col("lat").alias("elat"), F.col("lon").alias("elon"), "origin_time", "mw").dropna(subset=["eq_id", "elat", "elon", "origin_time"]).dropDuplicates(["eq_id"])
+    pad = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(pad_days * 86_400.0))
+    tg = targets.select("station", "lat", "lon", (F.col("t_start") - pad).alias("_a"), (F.col("t_end") + pad).alias("_b")).dropna().dropDuplicates(["station"])
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("elat"), F.col("elon"))
+    inside = F.col("origin_time").between(F.col("_a"), F.col("_b"))
+    dlat = F.lit(circle_km / (EARTH_KM * math.radians(1)) + 1e-9)
+    cos = F.cos(F.radians(F.least(F.abs(F.col("elat")) + dlat, F.lit(90.0))))
+    dlon = F.when(cos > 1e-6, F.least(dlat / cos, F.lit(360.0))).otherwise(360.0)
+    wide = int(math.ceil(360 / cell))
+    idx = lambda c: F.floor(c / cell).cast("int")
+    west = idx(F.col("elon") - dlon)
+    near = ev.withColumn("_y", F.explode(F.sequence(idx(F.col("elat") - dlat), idx(F.col("elat") + dlat))))
+    near = near.withColumn("_x", F.explode(F.array_distinct(F.transform(F.sequence(west, F.least(idx(F.col("elon") + dlon), west + wide)), lambda x: F.pmod(x, F.lit(wide))))))
+    at = tg.withColumn("_y", idx(F.col("lat"))).withColumn("_x", F.pmod(idx(F.col("lon")), F.lit(wide)))
+    close = near.join(at, ["_y", "_x"]).filter(inside).withColumn("km", km).filter(F.col("km") <= circle_km)
+    month = lambda t: F.date_trunc("month", t)
+    big = ev.filter(F.col("mw") > big_mw).withColumn("_m", month("origin_time"))
+    open_ = tg.withColumn("_m", F.explode(F.sequence(month("_a"), month("_b"), F.expr("interval 1 month"))))
+    far = big.join(open_, "_m").filter(inside).withColumn("km", km)
+    return close.select("eq_id", "station", "km").unionByName(far.select("eq_id", "station", "km")).distinct()

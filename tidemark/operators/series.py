@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.functions.timeunits import micros
-from tidemark.operators.blocks import ordered_blocks
+from tidemark.operators.blocks import BLOCK_ROWS, ordered_blocks
 
 
 @dataclass(frozen=True)
@@ -79,8 +79,7 @@ def cut(df: DataFrame, t_min: str | None = None, t_max: str | None = None, i_min
         raise ValueError("no bound")
     low, high = F.lit(True), F.lit(True)
     if i_min or i_max:
-        df = laid(df)
-        df = df.withColumn("_i", F.row_number().over(Window.partitionBy("station").orderBy("t")) - 1)
+        df = numbered(df).withColumnRenamed("_row", "_i")
     if t_min:
         low &= F.col("t") >= F.expr(f"timestamp_ntz'{t_min}'")
     if i_min:
@@ -97,9 +96,23 @@ def laid(df: DataFrame, key: str = "station", t: str = "t") -> DataFrame:
     return df.withColumn("_us", micros(t)).filter("_us is not null")
 
 
-def in_blocks(df: DataFrame, key: str = "station", t: str = "t") -> tuple[DataFrame, WindowSpec]:
-    """`df` in ordered blocks (see blocks.py) and the window over a block in time order. Filter on `core` afterwards."""
-    return ordered_blocks(laid(df, key, t), key, "_us", counted=df.select(key)), Window.partitionBy(key, "block").orderBy("_us")
+def in_blocks(df: DataFrame, key: str = "station", t: str = "t", reach: int = 0) -> tuple[DataFrame, WindowSpec]:
+    """`df` in ordered blocks (see blocks.py) and the window over a block in time order. Filter on `core` afterwards.
+    `reach`: how many rows the work looks to either side; blocks are made large enough for their halos to hold them."""
+    rows = max(BLOCK_ROWS, 40 * reach)
+    return ordered_blocks(laid(df, key, t), key, "_us", counted=df.select(key), block_rows=rows), Window.partitionBy(key, "block").orderBy("_us")
+
+
+def numbered(df: DataFrame, key: str = "station") -> DataFrame:
+    """Add _row, the place of each row in its station by time from 0: its place in its block and the rows of the blocks
+    before."""
+    blocks, w = in_blocks(df, key)
+    core = blocks.filter("core").withColumn("_in", F.row_number().over(w) - 1)
+    sizes = core.groupBy(key, "block").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col(key).alias("_key"), F.col("block").alias("_block"), before.alias("_before"))
+    out = core.join(sizes, core[key].eqNullSafe(sizes["_key"]) & (core["block"] == sizes["_block"]))
+    return out.withColumn("_row", F.col("_in") + F.col("_before")).drop("_in", "_before", "_key", "_block", "block", "core", "_us")
 
 
 def only_core(df: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +27,18 @@ ZEROING = {
 }
 
 
+#: Models of the user by type, see `register`.
+CUSTOM: dict[str, tuple[Callable[[dict], int], Callable[[np.ndarray, dict], np.ndarray], Callable[[Column, dict], list[Column]] | None]] = {}
+
+
+def register(name: str, parameters: Callable[[dict], int], design: Callable[[np.ndarray, dict], np.ndarray], columns: Callable[[Column, dict], list[Column]] | None = None, zero_before: bool = False, zero_after: bool = False) -> None:
+    """Add a model type: the number of parameters from `kw`; the design matrix (times x parameters) from the times since the
+    reference in the model's unit and `kw`; the same as column expressions, or none, in which case evaluation goes through
+    Arrow batches."""
+    CUSTOM[name] = (parameters, design, columns)
+    ZEROING[name] = (zero_before, zero_after)
+
+
 def parse_time(t: str) -> int:
     return int(np.datetime64(t, "us").astype(np.int64))
 
@@ -96,6 +109,8 @@ class ModelSpec:
     @property
     def num_parameters(self) -> int:
         kw = self.kw
+        if self.type in CUSTOM:
+            return CUSTOM[self.type][0](kw)
         if self.type == "Step":
             return len(kw["steptimes"])
         if self.type == "Polynomial":
@@ -111,7 +126,7 @@ class ModelSpec:
         return len(self.splines())
 
     def internal_scales(self) -> list[float]:
-        return [x[4] for x in self.splines()] or [1.0] * self.num_parameters
+        return [x[4] for x in (self.splines() if self.type not in CUSTOM else [])] or [1.0] * self.num_parameters
 
     def taus(self) -> list[float]:
         tau = self.kw["tau"]
@@ -153,7 +168,9 @@ def design(spec: ModelSpec, us: np.ndarray) -> np.ndarray:
     at = np.clip(us, a, b) if a is not None or b is not None else us
     tau = (at - parse_time(spec.t_reference)) / UNIT_MICROS[spec.time_unit]
     kw = spec.kw
-    if spec.type == "Step":
+    if spec.type in CUSTOM:
+        g = np.array(CUSTOM[spec.type][1](tau, kw), float).reshape(len(us), -1)
+    elif spec.type == "Step":
         g = np.stack([at >= parse_time(s) for s in sorted(kw["steptimes"], key=parse_time)], 1).astype(float)
     elif spec.type == "Polynomial":
         g = np.stack([tau**k for k in range(kw.get("min_exponent", 0), kw["order"] + 1)], 1)
@@ -228,7 +245,18 @@ def columns(spec: ModelSpec, us: str = "_us") -> list[Column]:
         at = F.least(at, F.lit(b))
     tau = (at - F.lit(parse_time(spec.t_reference))).cast("double") / float(UNIT_MICROS[spec.time_unit])
     kw, zero = spec.kw, F.lit(0.0)
-    if spec.type == "Step":
+    if spec.type in CUSTOM and CUSTOM[spec.type][2] is None:
+        n, matrix = spec.num_parameters, CUSTOM[spec.type][1]
+
+        @F.pandas_udf("array<double>")
+        def rows(x: pd.Series) -> pd.Series:
+            return pd.Series(list(np.array(matrix(x.to_numpy(float), kw), float).reshape(len(x), -1)))
+
+        found = rows(tau)
+        out = [F.get(found, F.lit(k)) for k in range(n)]
+    elif spec.type in CUSTOM:
+        out = CUSTOM[spec.type][2](tau, kw)
+    elif spec.type == "Step":
         out = [F.when(at >= parse_time(s), 1.0).otherwise(0.0) for s in sorted(kw["steptimes"], key=parse_time)]
     elif spec.type == "Polynomial":
         out = [F.lit(1.0) if k == 0 else tau if k == 1 else F.pow(tau, float(k)) for k in range(kw.get("min_exponent", 0), kw["order"] + 1)]

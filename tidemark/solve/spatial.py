@@ -8,20 +8,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.network import distance_weights, neighbours, weighted_median
+from tidemark.operators.network import coupling, weighted_median
 from tidemark.session import materialize
 from tidemark.solve.api import normal_sums, solve
 from tidemark.solve.models import ModelSpec
 
 
-def spatial_fit(obs: DataFrame, stations: DataFrame, specs: Sequence[ModelSpec], data: Sequence[str], penalty: float, spatial_models: Sequence[str], iterations: int = 5, var: Sequence[str] = (), nearest: int = 4, low_km: float = 1.0, high_km: float = 3000.0, radius_km: float = 21_000.0, percentile: float = 0.5, zero: float = 1e-6, stop_changed: int = 0, **reweighting) -> tuple[DataFrame, list[dict]]:
+def spatial_fit(obs: DataFrame, stations: DataFrame, specs: Sequence[ModelSpec], data: Sequence[str], penalty: float, spatial_models: Sequence[str], iterations: int = 5, var: Sequence[str] = (), nearest: int = 4, low_km: float = 1.0, high_km: float = 3000.0, percentile: float = 0.5, zero: float = 1e-6, stop_changed: int = 0, **reweighting) -> tuple[DataFrame, list[dict]]:
     """(params, statistics by iteration: nonzeros, unique_nonzeros by component, l2_diff, changed).
 
-    Pairs farther apart than radius_km do not couple; the default couples all. The observations are read once, for the
+    Stations couple with weights that fall with the distance (see network.coupling) down to a millionth. The observations are read once, for the
     normal sums; each iteration solves from those and writes its parameters to the shared folder. Other regularised
     models start each iteration from the penalty."""
     sums = materialize(normal_sums(obs, specs, data, var), "sums")
-    near = materialize(distance_weights(neighbours(stations, radius_km), nearest, low_km, high_km).select(F.col("station").alias("_to"), F.col("other").alias("station"), F.col("weight").alias("_near")), "near")
+    near = materialize(coupling(stations, nearest, low_km, high_km).select(F.col("station").alias("_to"), F.col("other").alias("station"), F.col("weight").alias("_near")), "near")
     kw = {"iters": 1, "kind": "inv", "eps": 1e-4} | reweighting
     params = materialize(solve(sums, specs, data, "lasso", penalty, **kw), "params")
     stats: list[dict] = []

@@ -248,6 +248,21 @@ def raw_inventory(files: DataFrame, network: str = "") -> DataFrame:
     ).filter("day between 1 and 366")
 
 
+def select_files(inventory: DataFrame, stations: Sequence[str] | None = None, networks: Sequence[str] | None = None, years: Sequence[int] | None = None, between: tuple[str, str] | None = None) -> DataFrame:
+    """The rows of an inventory (see raw_inventory) of the given stations, networks and years, with dates in between
+    (inclusive); what is not given does not restrict."""
+    d = inventory
+    for column, wanted in (("station", stations), ("network", networks), ("year", years)):
+        if wanted is not None:
+            d = d.filter(F.col(column).isin(list(wanted)))
+    return d if between is None else d.filter(F.col("date").between(F.lit(between[0]).cast("date"), F.lit(between[1]).cast("date")))
+
+
+def holding_summary(inventory: DataFrame) -> DataFrame:
+    """One row: num_files, num_stations, first and last date, bytes."""
+    return inventory.agg(F.count("*").alias("num_files"), F.countDistinct("station").alias("num_stations"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.sum("filesize").alias("bytes"))
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, length, modificationTime of every file below a folder; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
