@@ -42,8 +42,8 @@ def on_epochs(df: DataFrame, column: str, function: Callable[[pd.Series], pd.Ser
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.groupby("station")[column].mean()
         if len(x) < minimum:
-            return pd.DataFrame({"station": [], "t": pdf["t"].iloc[:0], name: []})
+            return pd.DataFrame({"station": pd.Series(dtype=object), "t": pdf["t"].iloc[:0], name: pd.Series(dtype=float)})
         out = function(x)
-        return pd.DataFrame({"station": out.index, "t": pdf["t"].iloc[0], name: out.to_numpy()})
+        return pd.DataFrame({"station": list(out.index), "t": pdf["t"].iloc[0], name: out.to_numpy()})
 
     return df.select("station", "t", column).filter(F.col(column).isNotNull()).groupBy("t").applyInPandas(run, schema)
