@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark import session
 from tidemark.operators import packed, regrid, rejects, spikes, units
@@ -101,6 +102,19 @@ def test_units_from_notes_field_and_numbers(spark):
     assert back.east.std() == pytest.approx(2.0, rel=0.2)
 
 
+def test_source_default_and_offset(spark):
+    rng = np.random.default_rng(1)
+    obs = make_obs(spark, {1: rng.normal(0, 0.2, 100), 2: rng.normal(0, 0.2, 100), 3: rng.normal(0, 2.0, 100)})
+    rows = [{"series_id": k, "data_unit": "cm" if k < 3 else "mm"} for k in (1, 2, 3)] + [{"series_id": 4}, {"series_id": 5}, {"series_id": 6, "data_unit": "m"}]
+    src = F.when(F.col("series_id") <= 4, "tenv3").when(F.col("series_id") == 6, "kenv")
+    series = make_series(spark, rows).withColumn("src", src)
+    u = units.series_units(obs, series)
+    assert {r["series_id"]: (r["um_per_unit"], r["basis"]) for r in u.filter("series_id > 3").collect()} == {4: (1e4, "source"), 5: (1e3, "default"), 6: (1e6, "field")}
+    moved = units.to_millimetres(obs, u.withColumn("offset_um", F.lit(5000.0)))
+    pairs = moved.join(obs.select("obs_id", F.col("east").alias("raw")), "obs_id").filter("series_id = 1").collect()
+    assert all(r["east"] == pytest.approx(r["raw"] * 10 + 5) for r in pairs)
+
+
 def test_scatter_is_the_same_in_blocks(spark):
     obs = make_obs(spark, {1: np.random.default_rng(3).normal(0, 1, 4000)})
     one, cut = units.epoch_scatter(obs).first()["delta"], units.epoch_scatter(obs, block_rows=1000).first()["delta"]

@@ -1,7 +1,8 @@
 """Readings in different units brought to millimetres.
 
 SQL only: number and unit are taken from the text with regexp_extract, the alias is normalised by a join, the
-correction in the notes, the unit field and what the numbers themselves say are coalesced, and the factor is applied.
+correction in the notes, the unit field, what the numbers themselves say and the default of the source are coalesced,
+and factor and offset are applied.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ _WORD = "|".join(sorted(ALIASES, key=len, reverse=True))
 _UNIT = rf"(?:(?:{_NUM})\s*[*x]?\s*)?(?:{_WORD})(?:\s*\*\s*10\^-?[0-9]+|/10*)?"
 #: What introduces a statement about the unit of the numbers. Lengths of other things follow other words.
 _CUE = r"(?:unit\s*:|true unit|scale is|given in|written in|recorded as|really in|file is in|treat as|values\s*=|east/north/up|\be n u\b)"
-_STATED = rf"{_CUE}\s*[\[(=:]*\s*({_UNIT})(?![a-z0-9^])"
+_STATED = rf"{_CUE}\s*[\[(=:]*\s*({_UNIT})(?:[^a-z0-9^]|$)"
 _WHOLE = rf"^({_NUM})?\s*[*x]?\s*({_WORD})(?:\s*\*\s*10\^(-?[0-9]+)|/(10*))?$"
 
 #: Standard deviation of good readings from epoch to epoch, in micrometres: one to six millimetres, so that the decade
@@ -97,34 +98,36 @@ def epoch_scatter(obs: DataFrame, column: str = "east", block_rows: int = BLOCK_
 
 
 def decide_units(series: DataFrame, scatter: DataFrame) -> DataFrame:
-    """One row per series: series_id, um_per_unit (double), basis ('notes', 'field', 'numbers' or 'default').
+    """One row per series: series_id, um_per_unit (double), basis ('notes', 'field', 'numbers', 'source' or 'default').
 
     A statement in the notes is taken if the numbers bear it out, then the unit field if they do; else the numbers
-    decide between mm, cm, m and micrometre. Without numbers the notes, then the field count unseen; with nothing at all
-    the unit is mm. `series` needs series_id, data_unit, notes; `scatter` series_id, delta.
+    decide between mm, cm, m and micrometre. Without numbers the notes, then the field count unseen, then the default of the
+    source: the unit most of its series have (ties: the smallest); with nothing at all the unit is mm. `series` needs
+    series_id, data_unit, notes, and may have src; `scatter` series_id, delta.
     """
     spark = series.sparkSession
     aliases = spark.createDataFrame(list(ALIASES.items()), "_alias string, _um double")
-    s = series.select("series_id", "data_unit", "notes").filter("series_id is not null").dropDuplicates(["series_id"])
+    src = F.col("src") if "src" in series.columns else F.lit(None).cast("string")
+    s = series.select("series_id", "data_unit", "notes", src.alias("_src")).filter("series_id is not null").dropDuplicates(["series_id"])
     s = size_um(F.regexp_extract(folded(F.coalesce("notes", F.lit(""))), _STATED, 1), aliases, s, "_notes_um")
     s = size_um(F.col("data_unit"), aliases, s, "_field_um").join(scatter, "series_id", "left")
-    fits = lambda um: (F.col("delta") * um / TYPICAL_UM).between(1 / DECADE, DECADE)
+    fits = lambda um: F.coalesce((F.col("delta") * um / TYPICAL_UM).between(1 / DECADE, DECADE), F.lit(False))
     has = F.coalesce(F.col("delta") > 0, F.lit(False))
     nearest = F.array_min(
         F.array(*[F.struct(F.abs(F.log10(F.col("delta") * um / TYPICAL_UM)).alias("off"), F.lit(um).alias("um")) for um in (1e3, 1e4, 1e6, 1.0)])
     )["um"]
+    s = s.withColumn("_said", F.when(has & fits(F.col("_notes_um")), F.col("_notes_um")).when(has & fits(F.col("_field_um")), F.col("_field_um")).when(has, nearest).otherwise(F.coalesce("_notes_um", "_field_um")))
+    usual = s.filter("_said is not null and _src is not null").groupBy("_src", "_said").agg(F.count("*").alias("_n")).groupBy("_src").agg(F.max_by("_said", F.struct("_n", -F.col("_said"))).alias("_source_um"))
+    s = s.join(sized(usual), "_src", "left")
     return s.select(
         "series_id",
-        F.when(has & fits(F.col("_notes_um")), F.col("_notes_um"))
-        .when(has & fits(F.col("_field_um")), F.col("_field_um"))
-        .when(has, nearest)
-        .otherwise(F.coalesce("_notes_um", "_field_um", F.lit(1e3)))
-        .alias("um_per_unit"),
+        F.coalesce("_said", "_source_um", F.lit(1e3)).alias("um_per_unit"),
         F.when(has & fits(F.col("_notes_um")), "notes")
         .when(has & fits(F.col("_field_um")), "field")
         .when(has, "numbers")
         .when(F.col("_notes_um").isNotNull(), "notes")
         .when(F.col("_field_um").isNotNull(), "field")
+        .when(F.col("_source_um").isNotNull(), "source")
         .otherwise("default")
         .alias("basis"),
     )
@@ -136,12 +139,15 @@ def series_units(obs: DataFrame, series: DataFrame) -> DataFrame:
 
 
 def to_millimetres(obs: DataFrame, units: DataFrame) -> DataFrame:
-    """`obs` with data columns in mm, variances and covariances in mm². NaN becomes NULL; rows of series that
-    `units` does not know keep their numbers, with um_per_unit NULL. Other columns stay."""
+    """`obs` with data columns in mm, variances and covariances in mm². Data take the factor and then the offset of their
+    unit (offset_um of `units`, if it has that column; lengths have none), variances and covariances the square of the
+    factor. NaN becomes NULL; rows of series that `units` does not know keep their numbers, with um_per_unit NULL. Other
+    columns stay."""
     f = F.coalesce(F.col("um_per_unit") / 1000.0, F.lit(1.0))
-    u = units.select("series_id", "um_per_unit")
+    shift = F.coalesce(F.col("_offset_um") / 1000.0, F.lit(0.0))
+    offset = F.col("offset_um").cast("double") if "offset_um" in units.columns else F.lit(None).cast("double")
+    u = units.select("series_id", "um_per_unit", offset.alias("_offset_um"))
     obs = obs.drop("um_per_unit") if "um_per_unit" in obs.columns else obs
     have = [c for c in DATA + VARS + COVS if c in obs.columns]
-    return obs.join(sized(u), "series_id", "left").withColumns(
-        {c: F.when(~F.isnan(c), F.col(c)) * (f if c in DATA else f * f) for c in have}
-    )
+    value = lambda c: F.when(~F.isnan(c), F.col(c))
+    return obs.join(sized(u), "series_id", "left").withColumns({c: value(c) * f + shift if c in DATA else value(c) * (f * f) for c in have}).drop("_offset_um")

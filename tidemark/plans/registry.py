@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import data_quality, models, relational
+from tidemark.plans import data_quality, files, models, relational
 
-MODULES = [data_quality, relational, models]
+MODULES = [data_quality, relational, models, files]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gzip
 import shutil
 import tempfile
 import uuid
@@ -54,13 +55,30 @@ def _own_dir() -> str:
 _WRITTEN: list[str] = []
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write `df` to the shared folder and read it back. Survives the loss of executors. The table stays
-    until `release` or the end of the program, since results read it lazily."""
-    at = f"{shared_dir(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by `release` or at the end of the program."""
+    at = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(release)
     _WRITTEN.append(at)
+    return at
+
+
+def shared_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file from the driver, gzip if its name ends so."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where)
+    try:
+        out.write(bytearray(gzip.compress(text.encode()) if path.endswith(".gz") else text.encode()))
+    finally:
+        out.close()
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write `df` to the shared folder and read it back. Survives the loss of executors. The table stays
+    until `release` or the end of the program, since results read it lazily."""
+    at = scratch_path(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
