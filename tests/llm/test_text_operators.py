@@ -189,6 +189,17 @@ def test_mixture_recovers_its_parameters(spark):
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
-def test_queries_run(spark, data, name):
+def test_queries_give_the_rows_of_their_sql(spark, data, name):
+    import duckdb
+
     df = queries.QUERIES[name](spark, data)
-    assert df.count() == len(df.toPandas())
+    rows = sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr)
+    if name not in queries.SQL:
+        return
+    con = duckdb.connect()
+    for table in ("documents", "eval_items", "common_words", "mix_targets"):
+        con.execute(f"create view {table} as select * from '{data}/{table}.parquet'")
+    cur = con.execute(queries.SQL[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    assert rows == sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in cur.fetchall()), key=repr)

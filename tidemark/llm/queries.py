@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import leakage, mixing, textstats
 
@@ -47,12 +48,42 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return textstats.classify_documents(_table(spark, d, "documents"), _table(spark, d, "common_words")).filter("label <> 'prose'").select("doc_id").distinct()
 
 
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Words and lines of each document."""
+    stats = textstats.document_stats(_table(spark, d, "documents"), _table(spark, d, "common_words"))
+    return stats.select("doc_id", "n_words", "n_lines", F.round("digit_word_share", 6).alias("digit_word_share"), F.round("common_share", 6).alias("common_share"))
+
+
 def p8_stats(spark: SparkSession, d: str) -> DataFrame:
     """Text statistics and label of each document."""
     return textstats.classify_documents(_table(spark, d, "documents"), _table(spark, d, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p6_clean, p7_found, p7_report, p7_copies, p8_found, p8_stats)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p6_clean, p7_found, p7_report, p7_copies, p8_found, p8_counts, p8_stats)}
+
+_TAGS = r"</?[A-Za-z][A-Za-z0-9]{0,15}(?:\s[^<>]{0,200})?/?>"
+_HIDDEN = r"[\x{ad}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}]"
+
+
+def _grams(key: str, text: str, table: str) -> str:
+    words = f"regexp_extract_all(regexp_replace(regexp_replace(replace(lower(strip_accents({text})), 'ß', 'ss'), '{_HIDDEN}', '', 'g'), '{_TAGS}', ' ', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+    return f"select {key}, array_to_string(w[i : i + 9], ' ') as gram from (select {key}, w, unnest(range(1, len(w) - 8)) as i from (select {key}, {words} as w from {table} where {key} is not null and {text} is not null))"
+
+
+_LEAKS = f"select distinct doc_id, item_id from ({_grams('doc_id', 'text', 'documents')}) d join ({_grams('item_id', 'passage', 'eval_items')}) i using (gram)"
+_PLAIN = f"regexp_replace(nfc_normalize(replace(replace(text, '­', ''), '​', '')), '{_TAGS}', ' ', 'g')"
+_WORDS = r"regexp_extract_all(lower(" + _PLAIN + r"), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*')"
 
-#: No SQL: suffix arrays, tokens and mixtures are tested against brute force (tests/llm).
-SQL: dict[str, str] = {}
+#: Where SQL can tell the rows. Matches, rates and labels are tested against brute force (tests/llm).
+SQL: dict[str, str] = {
+    "p6_found": _LEAKS,
+    "p6_clean": f"select doc_id, source, text from documents d where not exists (select 1 from ({_LEAKS}) l where l.doc_id = d.doc_id)",
+    # any usual measure of size gives the same sources
+    "p7_found": """with s as (select t.source, any_value(target_share) as share, any_value(max_repeat) as most, coalesce(sum(length(text)), 0) as size
+  from mix_targets t left join documents d on d.source = t.source where t.source is not null group by t.source)
+select source from s where share * (select sum(size) from s) > most * size""",
+    "p8_counts": f"""with w as (select doc_id, {_WORDS} as w, len(list_filter(string_split(replace(replace(text, '­', ''), '​', ''), e'\\n'), lambda x: regexp_matches(x, '[^\\s\\p{{Z}}]'))) as n_lines from documents where doc_id is not null and text is not null),
+c as (select list(distinct lower(word)) as c from common_words where word is not null)
+select doc_id, len(w)::double as n_words, n_lines::double as n_lines, round(case when len(w) > 0 then len(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))) / len(w) else 0.0 end, 6) as digit_word_share,
+  round(case when len(w) > 0 then len(list_filter(w, lambda x: length(x) > 1 and list_contains(c, x))) / len(w) else 0.0 end, 6) as common_share from w, c where n_lines > 0""",
+}
