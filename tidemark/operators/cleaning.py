@@ -79,24 +79,33 @@ def clean(df: DataFrame, reference: DataFrame, columns: Sequence[str], std_outli
     return d.select("station", "t", *[F.when(fine(c), F.col(f"_x_{c}")).alias(c) for c in columns])
 
 
+def _statistics(c: str, mean: Column, sd: Column, std_outlier: float) -> list[Column]:
+    z = F.coalesce(F.col(c), F.lit(0.0))
+    return [
+        F.avg(c).alias("mean"),
+        F.stddev_samp(c).alias("std"),
+        F.sqrt(F.avg(F.col(c) * F.col(c))).alias("rms"),
+        F.count(c).alias("observations"),
+        (F.count("*") - F.count(c)).alias("gaps"),
+        F.count_if(z - mean > std_outlier * sd).alias("outliers"),
+        F.count_if(F.abs(z - mean) > std_outlier * sd).alias("outliers_two_sided"),
+    ]
+
+
 def residual_stats(df: DataFrame, column: str, std_outlier: float = 3.0) -> DataFrame:
     """Per station: mean, std (sample), rms, observations, gaps, and outliers: values that, with NULL as 0 and the mean
     of that removed, exceed std_outlier population deviations upwards (outliers) or either way (outliers_two_sided)."""
-    z = F.coalesce(F.col(column), F.lit(0.0))
-    base = df.groupBy("station").agg(F.avg(z).alias("_m"), F.stddev_pop(z).alias("_s"))
-    return (
-        df.join(base, "station")
-        .groupBy("station")
-        .agg(
-            F.avg(column).alias("mean"),
-            F.stddev_samp(column).alias("std"),
-            F.sqrt(F.avg(F.col(column) * F.col(column))).alias("rms"),
-            F.count(column).alias("observations"),
-            (F.count("*") - F.count(column)).alias("gaps"),
-            F.count_if(z - F.col("_m") > std_outlier * F.col("_s")).alias("outliers"),
-            F.count_if(F.abs(z - F.col("_m")) > std_outlier * F.col("_s")).alias("outliers_two_sided"),
-        )
-    )
+    return component_stats(df, [column], std_outlier).drop("comp")
+
+
+def component_stats(df: DataFrame, columns: Sequence[str], std_outlier: float = 3.0) -> DataFrame:
+    """residual_stats of several components, one row each (comp): one pass for the means and one for the rest."""
+    z = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in columns}
+    base = df.groupBy("station").agg(*[x for c in columns for x in (F.avg(z[c]).alias(f"_m_{c}"), F.stddev_pop(z[c]).alias(f"_s_{c}"))])
+    names = ["mean", "std", "rms", "observations", "gaps", "outliers", "outliers_two_sided"]
+    each = df.join(base, "station").groupBy("station").agg(*[v.alias(f"{n}_{c}") for c in columns for n, v in zip(names, _statistics(c, F.col(f"_m_{c}"), F.col(f"_s_{c}"), std_outlier))])
+    rows = F.array(*[F.struct(F.lit(c).alias("comp"), *[F.col(f"{n}_{c}").alias(n) for n in names]) for c in columns])
+    return each.select("station", F.explode(rows).alias("x")).select("station", "x.*")
 
 
 def max_rolling_deviation(df: DataFrame, column: str, kernel: int) -> DataFrame:
