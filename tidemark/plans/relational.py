@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import timeunits, weights
-from tidemark.operators import availability, cleaning, events, network, series, steps, trends
+from tidemark.functions import geodesy, timeunits, weights
+from tidemark.operators import availability, cleaning, dislocation, events, network, quantiles, series, steps, trends
 from tidemark.plans import views as V
 from tidemark.plans.views import q6, r6, with_views
 from tidemark.sources.tables import table
@@ -289,10 +289,13 @@ def maintenance_in_span(spark, d):
     return events.maintenance_in_span(table(spark, d, "catalog_maint").withColumnRenamed("maint_time", "time"), table(spark, d, "obs"))
 
 
-@query("""select station, list_sort(list(distinct maint_time)) as times, count(distinct maint_time) as n from catalog_maint where station is not null and maint_time is not null and code = 1 group by station""")
+@query("""with x as (select distinct station, maint_time as time from catalog_maint where station is not null and maint_time is not null and code = 1)
+select station, row_number() over (partition by station order by time) as pos, time, count(*) over (partition by station) as n from x""")
 def maintenance_dict(spark, d):
+    """The times of each station in order; the array of a station (a catalog's entries) comes out row by row."""
     m = table(spark, d, "catalog_maint").filter("code = 1 and station is not null and maint_time is not null")
-    return m.groupBy("station").agg(F.array_sort(F.collect_set("maint_time")).alias("times"), F.countDistinct("maint_time").alias("n"))
+    times = m.groupBy("station").agg(F.array_sort(F.collect_set("maint_time")).alias("times"))
+    return times.select("station", F.posexplode("times").alias("pos", "time"), F.size("times").cast("bigint").alias("n")).select("station", (F.col("pos") + 1).cast("bigint").alias("pos"), "time", "n")
 
 
 @query("""with m as (select distinct station, maint_time as time from catalog_maint where code = 1 and station is not null and maint_time is not null), q as (select distinct station, maint_time as time from catalog_maint where code = 2 and station is not null and maint_time is not null)
@@ -311,13 +314,37 @@ def step_ranges(spark, d):
 
 # --- steps ---
 
-_STEP = """|, v as (select station, t, total - avg(total) over (partition by station) as x, row_number() over w as rn, count(*) over (partition by station) as cnt,
-   date_diff('second', timestamp '1998-01-01', t) / 86400.0 as tt from nat window w as (partition by station order by t)),
-p as (select a.station, a.t, b.rn >= a.rn as post, count(*)::double as n, avg(b.tt) as tm, avg(b.x) as xm, var_pop(b.tt) * count(*) as stt, covar_pop(b.tt, b.x) * count(*) as stx, var_pop(b.x) * count(*) as sxx
-  from v a join v b on a.station = b.station and b.rn between a.rn - 15 and a.rn + 15 where a.rn > 15 and a.rn <= a.cnt - 15 group by 1, 2, 3),
-q as (select a.station, a.t, a.n + b.n as n, a.stt + b.stt as wtt, a.stx + b.stx as wtx, a.sxx + b.sxx as wxx, a.n * b.n / (a.n + b.n) as h, b.tm - a.tm as dt, b.xm - a.xm as dx from p a join p b on a.station = b.station and a.t = b.t and not a.post and b.post),
+def _step_sql(view: str, column: str, half: int, least: int) -> str:
+    """Scores of every row, the window shrinking at the ends down to `least` rows."""
+    return f"""|, v as (select station, t, {column} - avg({column}) over (partition by station) as x, row_number() over w as rn, count(*) over (partition by station) as cnt,
+   date_diff('second', timestamp '1998-01-01', t) / 86400.0 as tt from {view} window w as (partition by station order by t)),
+vh as (select *, least({half}, rn - 1, cnt - rn) as h from v),
+p as (select a.station, a.t, b.rn >= a.rn as post, count(b.x)::double as n, avg(b.tt - a.tt) as tm, avg(b.x) as xm, var_pop(b.tt - a.tt) * count(b.x) as stt, covar_pop(b.tt - a.tt, b.x) * count(b.x) as stx, var_pop(b.x) * count(b.x) as sxx
+  from vh a join vh b on a.station = b.station and b.rn between a.rn - a.h and a.rn + a.h where b.x is not null and 2 * a.h + 1 >= {least} group by 1, 2, 3),
+q as (select a.station, a.t, a.n + b.n as n, a.stt + b.stt as wtt, a.stx + b.stx as wtx, a.sxx + b.sxx as wxx, a.n * b.n / (a.n + b.n) as h, b.tm - a.tm as dt, b.xm - a.xm as dx from p a join p b on a.station = b.station and a.t = b.t and not a.post and b.post where a.n >= 2 and b.n >= 2),
 r as (select station, t, n, (wxx + h * dx * dx) - pow(wtx + h * dt * dx, 2) / (wtt + h * dt * dt) as rss0, wxx - wtx * wtx / wtt as rss1 from q),
-s as (select station, t, (n * ln(rss0 / n) + 6 + 24.0 / (n - 4)) - (n * ln(rss1 / n) + 8 + 40.0 / (n - 5)) as delta, rss0 / n as var0, rss1 / n as var1 from r)"""
+s as (select station, t, case when n > 5 and rss0 > 0 and rss1 > 0 then (n * ln(rss0 / n) + 6 + 24.0 / (n - 4)) - (n * ln(rss1 / n) + 8 + 40.0 / (n - 5)) end as delta, rss0 / n as var0, rss1 / n as var1 from r)"""
+
+
+_STEP = _step_sql("nat", "total", 15, 31)
+
+
+@query(with_views("nat", _step_sql("nat", "total", 15, 11) + f" select nat.station, nat.t, {q6('case when delta > 0 then delta end', 'probability', 4)}, {q6('var0', 'var0')}, {q6('var1', 'var1')} from nat left join s using (station, t)"))
+def step_detect_shrinking(spark, d):
+    return steps.step_scores(V.nat(spark, d), "total", 31, kernel_min=11).select("station", "t", r6("probability", digits=4), r6("var0"), r6("var1"))
+
+
+def _components_sql() -> str:
+    parts = {c: _step_sql("ship", c, 10, 21).lstrip().removeprefix("|").lstrip(", ") for c in ("east", "up")}
+    both = " union all ".join(f"(with {p} select station, t, coalesce(delta, -1) as pr from s)" for p in parts.values())
+    return f"select ship.station, ship.t, {q6('case when max(pr) > 0 then max(pr) end', 'probability', 4)} from ship left join ({both}) x using (station, t) group by all"
+
+
+@query(with_views("ship", _components_sql()))
+def step_components(spark, d):
+    """The highest score over two components."""
+    s = V.ship(spark, d)
+    return steps.over_components([steps.step_scores(s, c, 21) for c in ("east", "up")]).select("station", "t", r6("probability", digits=4))
 
 
 @query(with_views("nat", _STEP + f" select nat.station, nat.t, {q6('case when delta > 0 then delta end', 'probability', 4)}, {q6('var0', 'var0')}, {q6('var1', 'var1')} from nat left join s using (station, t)"))
@@ -380,7 +407,7 @@ def weighted_percentile(spark, d):
     return network.weighted_median(p, ["kind"], "v", "w", 0.9)
 
 
-_SHIPS = ["AF", "NF", "NO", "RF"]
+_SHIPS = ["AF", "AO", "NF", "NO", "RF", "RO"]
 
 
 @query(with_views("ship", "select t, " + ", ".join(f"round(max(case when station = '{s}' then east end) + {V.NUDGE}, 6) + 0.0 as {s}" for s in _SHIPS) + " from ship group by t"))
@@ -388,7 +415,7 @@ def pivot_network(spark, d):
     return network.wide(V.ship(spark, d), "east", _SHIPS).select("t", *[r6(s) for s in _SHIPS])
 
 
-@query(with_views("ship", f"select station, t, {q6('east', 'east')} from ship where station in ('AF', 'NF', 'NO', 'RF') and east is not null"))
+@query(with_views("ship", f"select station, t, {q6('east', 'east')} from ship where east is not null"))
 def unpivot_dropna(spark, d):
     return network.tall(network.wide(V.ship(spark, d), "east", _SHIPS), _SHIPS, "east").select("station", "t", r6("east"))
 
@@ -414,3 +441,136 @@ def stations_in_polygon(spark, d):
     # the bounded half plane lat < lon + 10 of the box, as a polygon
     poly = [(-20.0, -30.0), (60.0, -30.0), (60.0, 40.0), (30.0, 40.0), (-20.0, -10.0)]
     return table(spark, d, "stations").filter(network.point_in_polygon(F.col("lon"), F.col("lat"), poly)).select("station", "lat", "lon")
+
+
+# --- trends, events and networks, further ---
+
+_EVENT_DAYS = "(select unnest([timestamp '1996-01-15 07:00:00', timestamp '1997-06-01', timestamp '1998-11-11 12:30:00']) as time)"
+
+
+@query(with_views("ship", f"""|, x as (select station, time, date_diff('second', date_trunc('day', time)::timestamp, t) / 86400.0 as dt, east as y, 1 / east_var as w from ship, {_EVENT_DAYS} e where east_var > 0 and abs(date_diff('second', date_trunc('day', time)::timestamp, t)) <= 90 * 86400),
+y as (select station, time, dt >= 0 as post, count(*) as n, (sum(w) * sum(w * dt * y) - sum(w * dt) * sum(w * y)) / nullif(sum(w) * sum(w * dt * dt) - sum(w * dt) * sum(w * dt), 0) as b from x group by all)
+select station, time, {q6("max(b) filter (where post) - max(b) filter (where not post)", 'change', 5)} from y group by station, time"""))
+def trend_change_weighted(spark, d):
+    s = V.ship(spark, d)
+    days = F.array(*[F.lit(x).cast("timestamp_ntz") for x in ("1996-01-15 07:00:00", "1997-06-01 00:00:00", "1998-11-11 12:30:00")])
+    ev = s.select("station").distinct().withColumn("time", F.explode(days))
+    return trends.trend_change(s, ev, "east", 90.0, 0.0, "east_var").select("station", "time", r6("change", digits=5))
+
+
+@query(with_views("ship", f"select station, count(east) as n, {q6('regr_slope(east, x)', 'slope')} from (select station, east, date_diff('second', timestamp '2000-01-01', t) / 31557600.0 as x from ship where t >= timestamp '1996-01-01' and t <= timestamp '1997-12-31') group by station"))
+def trend_in_span(spark, d):
+    return trends.trend(V.ship(spark, d), "east", unit="Y", start="1996-01-01", end="1997-12-31").select("station", "n", r6("slope"))
+
+
+_NEAR_KM = f"2 * {network.EARTH_KM} * asin(sqrt(least(1.0, pow(sin((radians(e.lat) - radians(s.lat)) / 2), 2) + cos(radians(s.lat)) * cos(radians(e.lat)) * pow(sin(radians(e.lon - s.lon) / 2), 2))))"
+
+
+@query(f"""with e as (select distinct on (eq_id) eq_id, lat, lon, origin_time, mw from catalog_eq where eq_id is not null and lat is not null and lon is not null and origin_time is not null),
+o as (select station, min(t) as a, max(t) as b from obs group by station), s as (select distinct on (station) station, lat, lon from stations where lat is not null and lon is not null)
+select eq_id, station, {q6("km", "km", 4)} from (select eq_id, s.station, mw, {_NEAR_KM} as km from e, s join o using (station) where e.origin_time between o.a - interval 10 day and o.b + interval 10 day) where km <= 800 or mw > 6.5""")
+def events_for_stations(spark, d):
+    """Events within 800 km, or above magnitude 6.5, in the time of a station's series."""
+    span = table(spark, d, "obs").groupBy("station").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"))
+    targets = table(spark, d, "stations").join(span, "station")
+    return events.events_for_stations(table(spark, d, "catalog_eq"), targets, 800.0, 6.5, 10.0).select("eq_id", "station", r6("km", digits=4))
+
+
+def _planes(spark, d):
+    e = table(spark, d, "catalog_eq").select("eq_id", "origin_time", "lat", "lon", "depth_km", (F.col("mw") + 2.5).alias("mw"))
+    angle = lambda k, n, low=0: (F.pmod(F.col("eq_id") * k, F.lit(n)) + low).cast("double")
+    return e.withColumns({"strike": angle(37, 360), "dip": angle(13, 79, 5), "rake": angle(29, 360, -180), "mo_nm": F.lit(None).cast("double")})
+
+
+def _okada_sql() -> str:
+    k = events
+    return f"""e as (select distinct on (eq_id) eq_id, lat, lon, depth_km as d, mw + 2.5 as mw, (eq_id * 37) % 360 as strike, (eq_id * 13) % 79 + 5 as dip, (eq_id * 29) % 360 - 180 as rake from catalog_eq
+  where eq_id is not null and lat is not null and lon is not null and mw is not null and origin_time is not null and depth_km > 0),
+p as (select e.*, s.station, (s.lat - e.lat) * ({k.KM_LAT} - {k.KM_LAT_COS} * cos(radians(2 * e.lat))) as n, (s.lon - e.lon) * {k.KM_LON} * cos(radians(e.lat)) as ea, coalesce(s.alt, 0) / 1000 + d as dz from e, stations s where s.lat is not null and s.lon is not null),
+g as (select *, sin(radians(strike)) as ss, cos(radians(strike)) as cs, sin(radians(dip)) as sd, cos(radians(dip)) as cd, cos(radians(rake)) as a, sin(radians(rake)) as b, pow(10, 1.5 * mw + 9.1) / 48e9 / 1e9 as m from p where sqrt(n * n + ea * ea + dz * dz) < pow(10, mw / 2 - 0.8)),
+x as (select *, ea * ss + n * cs as x, n * ss - ea * cs as y from g),
+r as (select *, y * cd + d * sd as p, y * sd - d * cd as q, sqrt(x * x + y * y + d * d) as r from x),
+i as (select *, 0.5 * y * (1 / (r * pow(r + d, 2)) - x * x * (3 * r + d) / (pow(r, 3) * pow(r + d, 3))) as i1, 0.5 * x * (1 / (r * pow(r + d, 2)) - y * y * (3 * r + d) / (pow(r, 3) * pow(r + d, 3))) as i2,
+  -0.5 * x * y * (2 * r + d) / (pow(r, 3) * pow(r + d, 2)) as i4, 0.5 * (1 / (r * (r + d)) - x * x * (2 * r + d) / (pow(r, 3) * pow(r + d, 2))) as i5 from r),
+u as (select *, -m / (2 * pi()) * (a * (3 * x * x * q / pow(r, 5) + i1 * sd) + b * (3 * x * p * q / pow(r, 5) - (0.5 * x / pow(r, 3) - i2) * sd * cd)) as ux,
+  -m / (2 * pi()) * (a * (3 * x * y * q / pow(r, 5) + i2 * sd) + b * (3 * y * p * q / pow(r, 5) - i1 * sd * cd)) as uy, -m / (2 * pi()) * (a * (3 * x * d * q / pow(r, 5) + i4 * sd) + b * (3 * d * p * q / pow(r, 5) - i5 * sd * cd)) as uz from i)"""
+
+
+@query(f"with {_okada_sql()} select eq_id, station, {q6('(ux * ss - uy * cs) * 1e6', 'east_mm', 4)}, {q6('(ux * cs + uy * ss) * 1e6', 'north_mm', 4)}, {q6('uz * 1e6', 'up_mm', 4)} from u")
+def dislocations(spark, d):
+    """Displacements by point sources with planes made up from the event's number."""
+    return dislocation.displacements(_planes(spark, d), table(spark, d, "stations")).select("eq_id", "station", *[r6(c, digits=4) for c in ("east_mm", "north_mm", "up_mm")])
+
+
+@query(with_views("ship", f"select station, {q6('sqrt(a * a + b * b)', 'total')} from (select station, sqrt(avg(east * east)) as a, sqrt(avg(north * north)) as b from ship group by station) order by total desc, station limit 3"))
+def worst_stations(spark, d):
+    """A top-k report: the three stations with the largest root mean squares."""
+    x = cleaning.component_stats(V.ship(spark, d), ["east", "north"]).groupBy("station").pivot("comp", ["east", "north"]).agg(F.first("rms"))
+    return network.worst_stations(x, ["east", "north"], 3).select("station", r6("total"))
+
+
+@query(with_views("sta", f"|, p as (select station as point, lat, lon from sta), x as (select point, s.station, {_NEAR_KM.replace('e.', 'p.')} as km from p, stations s where s.lat is not null and s.lon is not null) select point as point_id, station, {q6('km', 'km', 4)} from x qualify row_number() over (partition by point order by km, station) = 1"))
+def nearest_station(spark, d):
+    return network.nearest_station(V.sta(spark, d).select(F.col("station").alias("point_id"), "lat", "lon"), table(spark, d, "stations")).select("point_id", "station", r6("km", digits=4))
+
+
+@query("with i as (select station, count(*) as n from obs group by station) select i.station, n, lat from i join (select distinct on (station) station, lat from stations) s using (station)")
+def availability_by_latitude(spark, d):
+    return network.by_latitude(table(spark, d, "obs").groupBy("station").agg(F.count("*").alias("n")), table(spark, d, "stations"))
+
+
+@query(f"with x as (select {_KM} as km from stations a, stations b where a.station <> b.station) select " + ", ".join(q6(f"quantile_cont(km, {p})", f"p{int(p * 100)}", 4) for p in (0.05, 0.5, 0.95)) + " from x where km <= 3000")
+def distance_percentiles(spark, d):
+    pairs = network.neighbours(table(spark, d, "stations"), 3000.0).filter("station <> other").withColumn("k", F.lit(0))
+    q = quantiles.exact_quantiles(pairs, "k", "km", [0.05, 0.5, 0.95])
+    return q.select(*[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p5", "p50", "p95"))]).select(*[r6(n, digits=4) for n in ("p5", "p50", "p95")])
+
+
+@query("select l_returnflag as flag, " + ", ".join(q6(f"quantile_cont(l_extendedprice, {p})", f"p{int(p * 100)}", 4) for p in (0.05, 0.5, 0.95)) + " from lineitem group by 1")
+def group_quantiles(spark, d):
+    """Exact quantiles of groups that are taken for hot ones."""
+    q = quantiles.exact_quantiles(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice"), "flag", "l_extendedprice", [0.05, 0.5, 0.95], hot=5000)
+    return q.select("flag", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p5", "p50", "p95"))]).select("flag", *[r6(n, digits=4) for n in ("p5", "p50", "p95")])
+
+
+@query(with_views("sta", _PAIRS + f""", k as (select *, row_number() over (partition by station order by km, other) as r from pr where station <> other),
+m as (select station, greatest(least(avg(km), 900.0), 10.0) as s from k where r <= 4 group by station)
+select pr.station, other, {q6('exp(-km / s)', 'weight')} from pr join m using (station) where exp(-km / s) >= {network.LEAST_WEIGHT}"""))
+def coupling_weights(spark, d):
+    return network.coupling(V.sta(spark, d), 4, 10.0, 900.0).select("station", "other", r6("weight"))
+
+
+@query(with_views("nat", f"""|, g as (select station, date_diff('second', lag(t) over (partition by station order by t), t) / 86400.0 as gap from nat),
+s as (select station, count(*) as n_obs, sum(gap) as length_days, median(gap) as step from g group by station)
+select station, n_obs from s where n_obs / (round_even(length_days / step, 0) + 1) > 0.7 and length_days > 365"""))
+def quality_gate(spark, d):
+    return availability.quality_gate(V.nat(spark, d), 0.7).select("station", "n_obs")
+
+
+@query(with_views("nat", f"|, p as (select a.station, b.station as other, count(*) as n, abs(corr(a.total, b.total)) as c from nat a join nat b on a.t = b.t and a.station < b.station group by all having count(*) >= 30) select {q6('avg(c)', 'mean_corr')}, count(*) as n from p"))
+def mean_correlation(spark, d):
+    pairs = network.neighbours(V.sta(spark, d), 21_000.0)
+    return network.mean_correlation(network.pair_correlation(V.nat(spark, d), "total", pairs, floor_n=30)).select(r6("mean_corr"), "n")
+
+
+_DAY = "date_diff('second', timestamp '2000-01-01', a.t) / 86400.0"
+
+
+@query(with_views("nat", f"""|, p as (select a.station, b.station as other, count(*) as n, corr(a.total, b.total) as xy, corr(a.total, {_DAY}) as xt, corr(b.total, {_DAY}) as yt from nat a join nat b on a.t = b.t and a.station < b.station group by all having count(*) >= 30)
+select station, other, n, {q6('abs((xy - xt * yt) / sqrt((1 - xt * xt) * (1 - yt * yt)))', 'corr')} from p"""))
+def network_corr_detrended(spark, d):
+    pairs = network.neighbours(V.sta(spark, d), 21_000.0)
+    return network.pair_correlation(V.nat(spark, d), "total", pairs, True, 30).select("station", "other", "n", r6("corr"))
+
+
+@query("select station, t, row_number() over (partition by station order by t, obs_id) - 1 as i from (select distinct station, t, min(obs_id) as obs_id from obs where station is not null and t is not null group by station, t)")
+def numbered_rows(spark, d):
+    o = table(spark, d, "obs").filter("station is not null and t is not null").select("station", "t").distinct()
+    return series.numbered(o).select("station", "t", F.col("_row").cast("bigint").alias("i"))
+
+
+@query(f"select station, round(-sin(radians(lon)) * 1000 + cos(radians(lon)) * 2000, 6) + 0.0 as e, round(-sin(radians(lat)) * cos(radians(lon)) * 1000 - sin(radians(lat)) * sin(radians(lon)) * 2000 + cos(radians(lat)) * 3000, 6) + 0.0 as n, round(cos(radians(lat)) * cos(radians(lon)) * 1000 + cos(radians(lat)) * sin(radians(lon)) * 2000 + sin(radians(lat)) * 3000, 6) + 0.0 as u from stations where lat is not null and lon is not null")
+def enu_offsets(spark, d):
+    s = table(spark, d, "stations").dropna(subset=["lat", "lon"])
+    e, n, u = geodesy.enu(F.lit(1000.0), F.lit(2000.0), F.lit(3000.0), F.col("lat"), F.col("lon"))
+    return s.select("station", *[(F.round(c, 6) + 0.0).alias(k) for c, k in zip((e, n, u), "enu")])
