@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.timeunits import seconds
 from tidemark.operators.blocks import BLOCK_ROWS, ordered_blocks
-from tidemark.session import sized
+from tidemark.session import materialize, sized
 
 #: Spellings of length units (lower case, accents and micro signs folded) and their size in micrometres.
 ALIASES = {
@@ -117,6 +117,7 @@ def decide_units(series: DataFrame, scatter: DataFrame) -> DataFrame:
         F.array(*[F.struct(F.abs(F.log10(F.col("delta") * um / TYPICAL_UM)).alias("off"), F.lit(um).alias("um")) for um in (1e3, 1e4, 1e6, 1.0)])
     )["um"]
     s = s.withColumn("_said", F.when(has & fits(F.col("_notes_um")), F.col("_notes_um")).when(has & fits(F.col("_field_um")), F.col("_field_um")).when(has, nearest).otherwise(F.coalesce("_notes_um", "_field_um")))
+    s = materialize(s, "units")  # a row a series; the scatter below it is not worked out twice
     usual = s.filter("_said is not null and _src is not null").groupBy("_src", "_said").agg(F.count("*").alias("_n")).groupBy("_src").agg(F.max_by("_said", F.struct("_n", -F.col("_said"))).alias("_source_um"))
     s = s.join(sized(usual), "_src", "left")
     return s.select(
