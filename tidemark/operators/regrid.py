@@ -184,18 +184,42 @@ def _supported(values: np.ndarray, in_slot: np.ndarray, others: int, own: int) -
 
 
 def _fill(window: int, others: int, own: int):
-    """Windows that are one tile."""
-
-    def fitted(j: int, values: np.ndarray):
-        if len(values) <= others:
-            return None
-        ok = _supported(values, (~np.isnan(values)).sum(axis=0), others, own)
-        return (als(values), ok) if ok.any() else None
+    """Windows that are one tile. All segments of a batch are laid end to end; only tiles with enough series are looped over."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(frames, ["step_s", "win", "part"]):
-            for (_, win, _), tile in _tiles(pdf, window):
-                yield _rows(tile, win, window, fitted)
+            span = pdf["lo"].notna().to_numpy()
+            seg = np.cumsum(span) - 1  # a segment's span row comes before its cells
+            head, cells = pdf[span], pdf[~span]
+            step, win, lo, hi = (head[k].to_numpy(np.int64) for k in ("step_s", "win", "lo", "hi"))
+            offset = np.concatenate([[0], np.cumsum(hi - lo + 1)])
+            of = np.repeat(np.arange(len(lo)), hi - lo + 1)
+            slot = np.arange(offset[-1]) - offset[of] + lo[of]
+            at = offset[seg[~span]] + cells["slot"].to_numpy(np.int64) - lo[seg[~span]]
+            values = np.full((len(DATA), offset[-1]), np.nan)
+            values[:, at] = cells[DATA].to_numpy(float).T
+            out = {"series_id": head["series_id"].to_numpy(np.int64)[of], "slot": slot, "empty": np.isnan(values).all(axis=0)}
+            first = np.flatnonzero(starts(step, win))
+            last = np.append(first[1:], len(lo))
+            wide = last - first > others
+            for c, v in zip(DATA, values):
+                has = head[f"has_{c}"].to_numpy(bool)
+                hole = np.isnan(v)
+                state = np.where(hole, MARKED, OBSERVED).astype(np.int8)
+                for a, b in zip(first[wide], last[wide]):
+                    cut = slice(offset[a], offset[b])
+                    if not (hole[cut] & has[of[cut]]).any():
+                        continue
+                    mat = np.full((b - a, window), np.nan)
+                    r, k = of[cut] - a, slot[cut] - win[a] * window
+                    mat[r, k] = v[cut]
+                    fill = hole[cut] & _supported(mat, (~np.isnan(mat)).sum(axis=0), others, own)[r, k]
+                    if fill.any():
+                        v[cut] = np.where(fill, als(mat)[r, k], v[cut])
+                        state[cut][fill] = FILLED
+                out[c] = v
+                out[f"{c}_state"] = np.where(has[of], state, ABSENT).astype(np.int8)
+            yield pd.DataFrame(out)
 
     return run
 
