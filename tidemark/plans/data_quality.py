@@ -177,8 +177,16 @@ select e.series_id, e.slot from every e anti join r on r.series_id = e.series_id
 _COLS = "(select series_id, any_value(',' || replace(coalesce(data_cols, ''), ' ', '') || ',') as dc, any_value(',' || replace(coalesce(var_cols, ''), ' ', '') || ',') as vc from series where series_id is not null group by series_id)"
 _OBS_SEC = "(select *, floor(epoch_us(t) / 1000000.0)::bigint as sec from obs)"
 _FAULTS = " union ".join(
-    [f"select o.obs_id, '{c}' as col_name from {_OBS_SEC} o join f_{c} f using (series_id, sec) join {_COLS} s using (series_id) where o.obs_id is not null and contains(dc, ',{c},') and o.{c} = f.x and (f.spike or f.stuck)" for c in spikes.DATA]
-    + [f"select obs_id, '{c}' from obs o join un using (series_id) join {_COLS} s using (series_id) where obs_id is not null and contains(dc, ',{c},') and not isnan({c}) and abs({c}) >= {spikes.LIMIT_UM} / um" for c in spikes.DATA]
-    + [f"select obs_id, '{c}' from obs o join (select series_id, quantile_disc({c}, 0.5) filter (where not isnan({c})) as med from obs group by series_id) m using (series_id) join {_COLS} s using (series_id) where obs_id is not null and contains(vc, ',{c},') and not isnan({c}) and ({c} <= 0 or {c} > {spikes.VAR_RATIO} * med)" for c in spikes.VARS]
+    [f"select o.obs_id, o.series_id, '{c}' as col_name, '{why}' as reason from {_OBS_SEC} o join f_{c} f using (series_id, sec) join {_COLS} s using (series_id) where o.obs_id is not null and contains(dc, ',{c},') and o.{c} = f.x and f.{why}" for c in spikes.DATA for why in ("spike", "stuck")]
+    + [f"select obs_id, o.series_id, '{c}', 'limit' from obs o join un using (series_id) join {_COLS} s using (series_id) where obs_id is not null and contains(dc, ',{c},') and not isnan({c}) and abs({c}) >= {spikes.LIMIT_UM} / um" for c in spikes.DATA]
+    + [f"select obs_id, o.series_id, '{c}', 'variance' from obs o join (select series_id, quantile_disc({c}, 0.5) filter (where not isnan({c})) as med from obs group by series_id) m using (series_id) join {_COLS} s using (series_id) where obs_id is not null and contains(vc, ',{c},') and not isnan({c}) and ({c} <= 0 or {c} > {spikes.VAR_RATIO} * med)" for c in spikes.VARS]
 )
-SQL["p5_found"] = f"with {_UNITS}, {', '.join(_course_sql(c).replace('from obs where', f'from {_OBS_SEC} where') for c in spikes.DATA)} {_FAULTS}"
+SQL["p5_reasons"] = f"with {_UNITS}, {', '.join(_course_sql(c).replace('from obs where', f'from {_OBS_SEC} where') for c in spikes.DATA)} {_FAULTS}"
+SQL["p5_found"] = f"select distinct obs_id, col_name from ({SQL['p5_reasons']})"
+# a plain rule: labels, quotes and wrappers go, the separators become one, and what is left is counted
+_TIDY = r"""regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(trim(v, e' \r\n\t'), '["''\[\]\(\)\{\}<>°º]', '', 'g')), '[A-Za-z]+[0-9]+\s*[:=]\s*', e'\x01', 'g'), '^\s*\x01', ''), '\s*[;,|/&]?\s*\x01', ';', 'g')"""
+_ANGLES = " union all ".join(f"select eq_id, '{f}' as field_name, {f} as v, {most} as most from catalog_eq where {f} is not null" for f, most in ANGLES.items())
+SQL["p4_found"] = rf"""with f as ({_ANGLES}), t as (select *, {_TIDY} as s from f),
+u as (select *, case when regexp_matches(s, '[;,|/&\t\n]|\bor\b|\band\b') then regexp_split_to_array(s, '[;,|/&\t\n]|\bor\b|\band\b') when regexp_matches(s, '[0-9.]\s*[-‒–—―−]\s*[0-9]') then regexp_split_to_array(s, '[-‒–—―−]') else regexp_split_to_array(s, ' +') end as p from t),
+w as (select eq_id, field_name, most, unnest(p) as x, generate_subscripts(p, 1) as pos from u)
+select distinct eq_id, field_name, cast(pos as integer) as pos, cast(floor(cast(trim(x) as double)) as integer) as degrees from w where regexp_full_match(trim(x), '0*[0-9]{{1,9}}(?:\.0*)?') and cast(trim(x) as double) <= most"""

@@ -13,7 +13,7 @@ from tidemark.operators import cleaning, custom, trends
 from tidemark.operators.series import laid
 from tidemark.plans import views as V
 from tidemark.plans.views import NUDGE, q6, r6, with_views
-from tidemark.solve import api, decompose, fields, midas as midas_mod, spatial
+from tidemark.solve import api, decompose, fields, midas as midas_mod, noise as noise_mod, spatial
 from tidemark.session import materialize
 from tidemark.solve.models import ModelSpec, columns, register, transient_mask
 from tidemark.sources.tables import table
@@ -167,6 +167,46 @@ _line_query("lasso_positive_line", f"greatest({_soft('40')}, 0)", penalty=40.0,
 _line_query("l0_line", _soft("w0"), f", k as ({_steps})", penalty=40.0, iters=5, kind="inv", eps=0.05)
 
 
+@query(with_views("ship", f"select station, {q6('-sum(x) / sqrt(count(*) * sum(x * x))', 'corr')} from (select station, {_G[1]} as x from ship where east is not null) group by station"))
+def parameter_correlation(spark, d):
+    """Of the offset and the slope of a line."""
+    s = V.ship(spark, d)
+    cov = api.solve(api.normal_sums(s, SPECS[:1], ["east"]), SPECS[:1], ["east"], covariance=True)
+    return api.parameter_correlation(cov).filter("i = 0 and j = 1").select("station", r6("corr"))
+
+
+@query(with_views("ship", "select distinct station, m.model, m.ok as observable from ship, (values ('Linear', true), ('Late', false)) as m(model, ok)"))
+def observability(spark, d):
+    """A step after the last epoch cannot be estimated."""
+    late = ModelSpec("Late", "Step", {"steptimes": ["2030-01-01"]})
+    return api.fit(V.ship(spark, d), [SPECS[0], late], ["east"]).select("station", "model", "observable").distinct()
+
+
+def _set_sql(sets: list[tuple[float, int, float]], least: float) -> list[str]:
+    """Quadratic integrated splines: scale, how many, centre of the first, in days since 1998-01-01."""
+    out = []
+    for scale, n, first in sets:
+        for j in range(n):
+            u = f"(with x as (select ({_TAU} - {first + j * scale}) / {scale} as u) select case when u < -1.5 then 0 when u > 1.5 then 1 else ({_BSPLINE.format(e=3)}) / 3 end from x)"
+            out.append(f"{u} * {(scale / least) ** 0.5}")
+    return out
+
+
+_SETS = {
+    "spline_set": (ModelSpec("m", "SplineSet", {"degree": 2, "t_center_start": "1996-01-02", "t_center_end": "2000-01-01", "list_num_knots": [3, 5]}, "1998-01-01"), [(730.0, 5, -730.0 - 730.0), (365.0, 7, -365.0 - 730.0)], 365.0),
+    "decaying_spline_set": (ModelSpec("m", "DecayingSplineSet", {"degree": 2, "t_center_start": "1998-01-01", "list_scales": [50.0, 200.0], "list_num_splines": [3, 2]}, "1998-01-01"), [(50.0, 3, 0.0), (200.0, 2, 0.0)], 50.0),
+}
+for _name, (_spec, _sets, _least) in _SETS.items():
+    QUERIES[f"basis_{_name}"] = _basis(_spec)
+    SQL[f"basis_{_name}"] = with_views("ship", "|, d as (select distinct t from ship) select t, " + ", ".join(q6(x, f"g{i}") for i, x in enumerate(_set_sql(_sets, _least))) + " from d")
+
+
+@query()
+def power_law_noise(spark, d):
+    """Seeded noise of each station, alike wherever it runs."""
+    return noise_mod.noise(V.sta(spark, d), 200, 1.5)
+
+
 @query(with_views("ship", f"select station, {q6('regr_intercept(east, x)', 'intercept')}, {q6('regr_slope(east, x)', 'slope')} from (select station, east, {_G[1]} as x from ship) group by station"))
 def frozen_fit(spark, d):
     """The annual cycle frozen: what is left is a line."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import geodesy, timeunits, weights
-from tidemark.operators import availability, cleaning, dislocation, events, network, quantiles, series, steps, trends
+from tidemark.operators import availability, cleaning, dislocation, events, network, products, quantiles, series, steps, trends
 from tidemark.plans import views as V
 from tidemark.plans.views import q6, r6, with_views
 from tidemark.sources.tables import table
@@ -574,3 +574,34 @@ def enu_offsets(spark, d):
     s = table(spark, d, "stations").dropna(subset=["lat", "lon"])
     e, n, u = geodesy.enu(F.lit(1000.0), F.lit(2000.0), F.lit(3000.0), F.col("lat"), F.col("lon"))
     return s.select("station", *[(F.round(c, 6) + 0.0).alias(k) for c, k in zip((e, n, u), "enu")])
+
+
+@query(with_views("ev err", f"|, f as (select station, t as time, value from ev) select err.station, err.time, {q6('err.size', 'size')}, {q6('f.value', 'value')} from err left join f using (station, time)"))
+def augment_catalog(spark, d):
+    found = V.ev(spark, d).select("station", F.col("t").alias("time"), "value")
+    return events.augment(V.errors(spark, d), found, ["value"]).select("station", "time", r6("size"), r6("value"))
+
+
+@query(with_views("ev err", "select station, t from ev where exists (select 1 from err where err.station = ev.station and err.time = ev.t)"))
+def timestamp_semi_join(spark, d):
+    return V.ev(spark, d).join(V.errors(spark, d).select("station", F.col("time").alias("t")), ["station", "t"], "left_semi").select("station", "t")
+
+
+@query(with_views("ship nat", f"select station, t, {q6('east', 'value')} from ship union all select station, t, {q6('total', 'value')} from nat"))
+def concat_networks(spark, d):
+    a = V.ship(spark, d).select("station", "t", F.col("east").alias("value"))
+    return a.unionByName(V.nat(spark, d).select("station", "t", F.col("total").alias("value"))).select("station", "t", r6("value"))
+
+
+@query(with_views("ship", f"""|, x as (select station, t, east - first_value(east) over w as de, north - first_value(north) over w as dn from ship where east is not null and north is not null window w as (partition by station order by t))
+select station, t, {q6('sqrt(de * de + dn * dn)', 'distance')}, {q6('case when de = 0 and dn = 0 then 90.0 else degrees(atan2(de, dn)) + case when atan2(de, dn) < 0 then 360 else 0 end end', 'azimuth', 4)} from x"""))
+def displacement_paths(spark, d):
+    return products.displacement_paths(V.ship(spark, d)).select("station", "t", r6("distance"), r6("azimuth", digits=4))
+
+
+@query(with_views("ship", f"""|, x as (select station, t, east as x, row_number() over (partition by station order by t) as r, count(*) over (partition by station) as c from ship)
+select station, {q6('(max(x) filter (where r = c)) - (max(x) filter (where r = 1))', 'change')}, count(*) as n from x group by station"""))
+def first_to_last(spark, d):
+    rows = series.numbered(V.ship(spark, d).select("station", "t", "east"))
+    ends = rows.groupBy("station").agg((F.max_by("east", "_row") - F.min_by("east", "_row")).alias("change"), F.count("*").alias("n"))
+    return ends.select("station", r6("change"), "n")

@@ -222,6 +222,14 @@ def covariance_block(cov: DataFrame, specs: Sequence[ModelSpec], data: Sequence[
     return cov.filter("comp = '*'").select("station", F.explode(cells).alias("x")).select("station", "x.*")
 
 
+def parameter_correlation(cov: DataFrame) -> DataFrame:
+    """station, comp, i, j, corr of the parameters of each COVARIANCE row, for i < j; NULL where a variance is 0."""
+    at = lambda i, j: F.get("cov", F.col("size") * i + j)
+    pairs = cov.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("size") - 1))).withColumn("j", F.explode(F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda k: k > F.col("i"))))
+    i, j = F.col("i"), F.col("j")
+    return pairs.select("station", "comp", "i", "j", F.when((at(i, i) > 0) & (at(j, j) > 0), at(i, j) / F.sqrt(at(i, i) * at(j, j))).alias("corr"))
+
+
 def two_components(params: DataFrame, block: DataFrame, model: str, par_ix: int, first: str, second: str) -> DataFrame:
     """station, value and variance of one parameter in two components, and their covariance (NULL without `block`)."""
     one = params.filter((F.col("model") == model) & (F.col("par_ix") == par_ix))
