@@ -302,6 +302,37 @@ def test_spatial_fit_couples(spark):
     assert act.filter("active").count() > 0
 
 
+@pytest.mark.parametrize("use, amplitude, angle, within", [("nothing", 1.3253632716, 9.4934302719, 0.05), ("variance", 0.94992227405, 4.0764805213, 1e-6), ("covariance", 1.0202124819, 5.8098923752, 0.01)])
+def test_published_circle(spark, use, amplitude, angle, within):
+    """Errors of the velocities of eight stations around a source, fitted together without and with uncertainties."""
+    rng = np.random.default_rng(0)
+    t = pd.date_range("2000-01-01", "2001-01-01")
+    us, half = t.to_numpy("datetime64[us]").astype(np.int64), len(t) // 2
+    line = ModelSpec("line", "Polynomial", {"order": 1}, "2000-01-01", "Y")
+    source = ModelSpec("source", "Arctangent", {"tau": 20.0}, "2000-03-01")
+    rows, places = [], []
+    for k, a in enumerate(np.linspace(0, 2 * np.pi, 8, endpoint=False)):
+        turn = np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]])
+        early, late = turn @ np.diag([10, 3]) @ turn.T, np.diag([3, 3])
+        noise_ = np.concatenate([rng.multivariate_normal((0, 0), early, half), rng.multivariate_normal((0, 0), late, len(t) - half)])
+        y = design(line, us) @ [[0, 0], [6, 0]] + design(source, us) @ ([[8, 0]] @ turn.T) + noise_
+        first = np.arange(len(t)) < half
+        rows.append(pd.DataFrame({"station": f"S{k}", "t": t, "e": y[:, 0], "n": y[:, 1], "ev": np.where(first, early[0, 0], 3.0), "nv": np.where(first, early[1, 1], 3.0), "c": np.where(first, early[0, 1], 0.0)}))
+        places.append((f"S{k}", float(np.sin(a) / 10), float(np.cos(a) / 10)))
+    obs = spark.createDataFrame(pd.concat(rows)).withColumn("t", F.col("t").cast("timestamp_ntz"))
+    splines = ModelSpec("splines", "SplineSet", {"degree": 2, "t_center_start": "2000-01-01", "t_center_end": "2001-01-01", "list_num_knots": [7, 13]}, "2000-01-01", "D", True)
+    kw = {"nothing": {}, "variance": {"var": ["ev", "nv"]}, "covariance": {"var": ["ev", "nv"], "cov": ["c"]}}[use]
+    p, _ = spatial.spatial_fit(obs, spark.createDataFrame(places, "station string, lat double, lon double"), [line, splines], ["e", "n"], 10.0, ["splines"], 20, kind="log", eps=1e-8, scale=10.0, **kw)
+    v = p.filter("model = 'line' and par_ix = 1").toPandas().pivot(index="station", columns="comp", values=["value", "var"])
+    size = np.hypot(v["value"].e, v["value"].n)
+    assert np.sqrt(((size - 6) ** 2).mean()) == pytest.approx(amplitude, rel=within)
+    assert np.sqrt((np.degrees(np.arccos(v["value"].e / size)) ** 2).mean()) == pytest.approx(angle, rel=within)
+    if use == "covariance":
+        assert np.allclose(v["var"].loc["S1"], [0.312009, 0.312009], atol=2e-6)
+    if use == "variance":
+        assert np.allclose(v["var"].loc["S0", ["e", "n"]], [0.397303, 0.226716], atol=2e-6)
+
+
 # --- trends, modes, fields ---
 
 
