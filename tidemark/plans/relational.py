@@ -106,18 +106,18 @@ def copy_uncertainties(spark, d):
 
 
 def _deliveries(spark, d):
-    return table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("station"), F.col("l_shipdate").alias("t"), F.struct("l_orderkey", "l_linenumber").alias("seq"), "l_orderkey", "l_linenumber", "l_quantity")
+    return table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("station"), F.col("l_shipdate").alias("t"), F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("seq"), "l_orderkey", "l_linenumber", "l_quantity")
 
 
 _DELIVERIES = "with x as (select l_returnflag || l_linestatus as station, l_shipdate as t, l_orderkey, l_linenumber, l_quantity from lineitem)"
 
 
-@query(_DELIVERIES + " select station, t, l_orderkey, l_linenumber, l_quantity from x qualify row_number() over (partition by station, t order by l_orderkey, l_linenumber) = 1")
+@query(_DELIVERIES + " select station, t, l_orderkey, l_linenumber, l_quantity from x qualify row_number() over (partition by station, t order by l_orderkey, l_linenumber, l_quantity) = 1")
 def dedup_first(spark, d):
     return series.dedup(_deliveries(spark, d), "first", "seq").drop("seq")
 
 
-@query(_DELIVERIES + " select station, t, l_orderkey, l_linenumber, l_quantity from x qualify row_number() over (partition by station, t order by l_orderkey desc, l_linenumber desc) = 1")
+@query(_DELIVERIES + " select station, t, l_orderkey, l_linenumber, l_quantity from x qualify row_number() over (partition by station, t order by l_orderkey desc, l_linenumber desc, l_quantity desc) = 1")
 def dedup_last(spark, d):
     return series.dedup(_deliveries(spark, d), "last", "seq").drop("seq")
 
