@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import gzip
 import shutil
@@ -59,7 +60,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted by `release` or at the end of the program."""
     at = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     if not _WRITTEN:
-        atexit.register(release)
+        atexit.register(_release_at_end)
     _WRITTEN.append(at)
     return at
 
@@ -94,6 +95,11 @@ def release() -> None:
     _WRITTEN.clear()
 
 
+def _release_at_end() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        release()
+
+
 def _width(df: DataFrame):
     """Bytes of a row in memory: 8 for each field, the text of strings, 16 for each entry of arrays and maps."""
     total = F.lit(24 + 8 * len(df.columns))
