@@ -165,6 +165,29 @@ def test_events_for_stations(spark):
     assert (1, "C") in {(r["eq_id"], r["station"]) for r in events.events_for_stations(ev, tg, 60.0, pad_days=2.0).collect()}
 
 
+def test_events_for_stations_without_broadcast(spark, tmp_path):
+    """Rows repeated for cells and months are not broadcast, however small Spark takes them for; each pair comes once."""
+    rng = np.random.default_rng(0)
+    n, m = 1500, 60
+    ev = pd.DataFrame({"eq_id": np.arange(n), "lat": rng.uniform(-90, 90, n), "lon": rng.uniform(-180, 180, n), "origin_time": np.datetime64(T0, "us") + rng.integers(0, 3000, n) * np.timedelta64(1, "D"), "mw": rng.uniform(3, 8, n)})
+    ev.loc[::7, "mw"] = np.nan
+    tg = pd.DataFrame({"station": [f"S{k}" for k in range(m)], "lat": rng.uniform(-90, 90, m), "lon": rng.uniform(-180, 360, m), "t_start": np.datetime64(T0, "us") + rng.integers(0, 2000, m) * np.timedelta64(1, "D")})
+    tg["t_end"] = tg.t_start + rng.integers(0, 900, m) * np.timedelta64(1, "D")
+    for name, pdf in (("ev", ev), ("tg", tg)):
+        pd.concat([pdf, pdf.head(20)]).to_parquet(f"{tmp_path}/{name}.parquet", coerce_timestamps="us")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")
+    df = events.events_for_stations(read("ev").withColumn("mw", F.nanvl("mw", F.lit(None))), read("tg"), 1500.0, 7.0, 5.0)
+    got = df.collect()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    a, b = np.radians(ev.lat.to_numpy())[:, None], np.radians(tg.lat.to_numpy())
+    h = np.sin((a - b) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(ev.lon.to_numpy()[:, None] - tg.lon.to_numpy()) / 2) ** 2
+    km = 2 * network.EARTH_KM * np.arcsin(np.sqrt(np.minimum(h, 1)))
+    t, pad = ev.origin_time.to_numpy()[:, None], np.timedelta64(5, "D")
+    want = (t >= tg.t_start.to_numpy() - pad) & (t <= tg.t_end.to_numpy() + pad) & ((km <= 1500) | (ev.mw.to_numpy() > 7)[:, None])
+    assert len(got) == want.sum() > 1000
+    assert {(r["eq_id"], r["station"]): r["km"] for r in got} == pytest.approx({(i, f"S{j}"): km[i, j] for i, j in np.argwhere(want)})
+
+
 def test_sessions(spark):
     times = spark.createDataFrame([(T0 + dt.timedelta(days=k),) for k in (0, 1, 1, 9, 10, 30)] + [(None,)], "time timestamp_ntz")
     assert [(r["start_t"].day, r["n"]) for r in events.sessions(times, 5.0).orderBy("start_t").collect()] == [(1, 2), (10, 2), (31, 1)]

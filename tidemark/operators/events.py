@@ -99,25 +99,28 @@ def sessions(times: DataFrame, gap_days: float) -> DataFrame:
 def events_for_stations(events: DataFrame, targets: DataFrame, circle_km: float, big_mw: float = 7.5, pad_days: float = 0.0, cell: float = 2.0) -> DataFrame:
     """The events that may explain a station's series: eq_id, station, km where the event falls into the target's window
     (targets: station, lat, lon, t_start, t_end, widened by pad_days) and is within circle_km or larger than big_mw. Near
-    pairs meet in latitude-longitude cells, large events and targets in the months of the window. Rows with NULL in any of
+    pairs meet in latitude-longitude cells, large events and targets in the months of the window: an event has one place, a
+    target is repeated for each cell within the circle and each month, so every pair is formed once. Rows with NULL in any of
     the columns needed are left out, repeated events and targets count once."""
     ev = events.select("eq_id", F.col("lat").alias("elat"), F.col("lon").alias("elon"), "origin_time", "mw").dropna(subset=["eq_id", "elat", "elon", "origin_time"]).dropDuplicates(["eq_id"])
     pad = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(pad_days * 86_400.0))
     tg = targets.select("station", "lat", "lon", (F.col("t_start") - pad).alias("_a"), (F.col("t_end") + pad).alias("_b")).dropna().dropDuplicates(["station"])
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("elat"), F.col("elon"))
     inside = F.col("origin_time").between(F.col("_a"), F.col("_b"))
+    is_big = F.coalesce(F.col("mw") > big_mw, F.lit(False))
     dlat = F.lit(circle_km / (EARTH_KM * math.radians(1)) + 1e-9)
-    cos = F.cos(F.radians(F.least(F.abs(F.col("elat")) + dlat, F.lit(90.0))))
+    cos = F.cos(F.radians(F.least(F.abs(F.col("lat")) + dlat, F.lit(90.0))))
     dlon = F.when(cos > 1e-6, F.least(dlat / cos, F.lit(360.0))).otherwise(360.0)
     wide = int(math.ceil(360 / cell))
     idx = lambda c: F.floor(c / cell).cast("int")
-    west = idx(F.col("elon") - dlon)
-    near = ev.withColumn("_y", F.explode(F.sequence(idx(F.col("elat") - dlat), idx(F.col("elat") + dlat))))
-    near = near.withColumn("_x", F.explode(F.array_distinct(F.transform(F.sequence(west, F.least(idx(F.col("elon") + dlon), west + wide)), lambda x: F.pmod(x, F.lit(wide))))))
-    at = tg.withColumn("_y", idx(F.col("lat"))).withColumn("_x", F.pmod(idx(F.col("lon")), F.lit(wide)))
-    close = near.join(at, ["_y", "_x"]).filter(inside).withColumn("km", km).filter(F.col("km") <= circle_km)
-    month = lambda t: F.date_trunc("month", t)
-    big = ev.filter(F.col("mw") > big_mw).withColumn("_m", month("origin_time"))
-    open_ = tg.withColumn("_m", F.explode(F.sequence(month("_a"), month("_b"), F.expr("interval 1 month"))))
-    far = big.join(open_, "_m").filter(inside).withColumn("km", km)
-    return close.select("eq_id", "station", "km").unionByName(far.select("eq_id", "station", "km")).distinct()
+    month = lambda t: (F.year(t) * 12 + F.month(t)).cast("int")
+    west = idx(F.col("lon") - dlon)
+    across = F.array_distinct(F.transform(F.sequence(west, F.least(idx(F.col("lon") + dlon), west + wide)), lambda x: F.pmod(x, F.lit(wide))))
+    places = lambda first, last, by_month: F.transform(F.sequence(first, last), lambda y: F.struct(y.alias("_y"), F.lit(by_month).alias("_by_month")))
+    tg = tg.select("*", F.inline(F.concat(places(idx(F.col("lat") - dlat), idx(F.col("lat") + dlat), False), places(month("_a"), month("_b"), True))))
+    # months have the column -1, that no cell has
+    tg = tg.withColumn("_x", F.explode(F.when(F.col("_by_month"), F.array(F.lit(-1))).otherwise(across)))
+    ev = ev.withColumn("_y", F.when(is_big, month("origin_time")).otherwise(idx(F.col("elat")))).withColumn("_x", F.when(is_big, -1).otherwise(F.pmod(idx(F.col("elon")), F.lit(wide))))
+    # a merge by hint: Spark's estimate counts a target once however often it is repeated, and would have them all broadcast
+    pairs = ev.join(tg.hint("merge"), ["_y", "_x"])
+    return pairs.filter(inside).withColumn("km", km).filter(is_big | (F.col("km") <= circle_km)).select("eq_id", "station", "km")
